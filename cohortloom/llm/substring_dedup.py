@@ -228,33 +228,34 @@ def _windows(window: int):
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(row_key().alias("k"), "doc_id", "text")
+
+
 def duplicate_spans(docs: DataFrame, window: int = 35, hot: int | None = None) -> DataFrame:
     """(k, low, high): word ranges of document k (see row_key) that duplicate windows cover; they may overlap."""
     hot = HOT if hot is None else hot
-    keyed = docs.select(row_key().alias("k"), "text")
-    segs = keyed.mapInArrow(_find_segments(window), "a long, h long, k long, start int, n int")
-    shared = segs.groupBy("a").agg(F.count("*").alias("c"), (F.min("h") != F.max("h")).alias("mixed")).where("c > 1").drop("c")
-    # One row for each segment whose anchor repeats: a small part of the corpus, used by all that follows.
-    repeated = cut(segs.join(shared, "a"))
-    kinds = repeated.groupBy("a", "h").agg(F.count("*").alias("copies"), F.min(F.struct("k", "start", "n")).alias("one"), F.first("mixed").alias("mixed"))
-    whole = repeated.join(kinds.where("copies > 1").select("a", "h"), ["a", "h"]).select("k", F.col("start").alias("low"), (F.col("start") + F.col("n") + (window - 1)).alias("high"))
+    segs = docs.select(row_key().alias("k"), "text").mapInArrow(_find_segments(window), "a long, h long, k long, start int, n int")
+    shared = segs.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
+    # One row for each segment whose anchor repeats: a part of the corpus, used by all that follows.
+    repeated = cut(segs.join(shared, "a", "left_semi"))
+    kinds = cut(repeated.groupBy("a", "h").agg(F.count("*").alias("copies"), F.min(F.struct("k", "start", "n")).alias("one")))
+    whole = repeated.join(kinds.where("copies > 1").select("a", "h"), ["a", "h"], "left_semi").select("k", F.col("start").alias("low"), (F.col("start") + F.col("n") + (window - 1)).alias("high"))
     # A kind that occurs once in a mixed group is a candidate; the others of its group are its reference.
-    number = repeated.where("mixed").groupBy("a").agg(F.approx_count_distinct("h", 0.05).alias("kinds"), F.count("*").alias("rows"))
-    # Few distinct segments, or few segments at all, fit a block; the estimate only chooses between two exact ways.
-    number = number.select("a", ((F.col("kinds") > hot) & (F.col("rows") > hot)).alias("hot"))
-    parts = cut(kinds.where("mixed").select("a", "one.*").join(number, "a"))
+    mixed = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a", (F.col("kinds") > hot).alias("hot"))
+    parts = kinds.select("a", "one.*").join(mixed, "a")
 
     def contents(of: DataFrame) -> DataFrame:
         listed = of.groupBy("k").agg(F.collect_list(F.struct("a", "start", "n")).alias("parts"))
-        # One row of each key: equal rows have equal text, and any one serves.
-        return keyed.join(listed, "k").mapInArrow(_cut_out(window), "a long, k long, start int, words array<long>")
+        # The texts are shuffled by k as remove_duplicates shuffles them, so that Spark does it once.
+        return _keyed(docs).join(listed, "k").mapInArrow(_cut_out(window), "a long, k long, start int, words array<long>")
 
     blocks = contents(parts.where("not hot"))
     spans = blocks.repartition("a").sortWithinPartitions("a").mapInArrow(_parse_blocks(window), "k long, low int, high int").unionByName(whole)
-    if parts.where("hot").limit(1).count():
-        windows = cut(contents(parts.where("hot")).mapInArrow(_windows(window), "w long, k long, low int").distinct())
+    if mixed.where("hot").limit(1).count():
+        windows = contents(parts.where("hot")).mapInArrow(_windows(window), "w long, k long, low int").distinct()
         again = windows.groupBy("w").count().where("count > 1").select("w")
-        spans = spans.unionByName(windows.join(again, "w").select("k", "low", (F.col("low") + window).alias("high")))
+        spans = spans.unionByName(windows.join(again, "w", "left_semi").select("k", "low", (F.col("low") + window).alias("high")))
     return spans
 
 
@@ -281,6 +282,6 @@ def remove_duplicates(docs: DataFrame, window: int = 35, hot: int | None = None)
     """doc_id and text of docs with n_words, n_removed, kept_sha256 (of the kept words, joined by a space) and kept_text
     (null where nothing goes: the text stays as it is)."""
     spans = duplicate_spans(docs, window, hot).groupBy("k").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    rows = docs.select(row_key().alias("k"), "doc_id", "text").join(spans, "k", "left").drop("k")
+    rows = _keyed(docs).join(spans, "k", "left").drop("k")
     kind = dict(docs.dtypes)["doc_id"]
     return rows.mapInArrow(_kept, f"doc_id {kind}, text string, n_words long, n_removed long, kept_sha256 string, kept_text string")
