@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE = 2 << 20
 U64 = np.uint64
@@ -147,3 +148,22 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder: later reads survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """k (row_key), row (a struct of all columns but text) and text: no column of docs can clash with an added one."""
+    return docs.select(row_key().alias("k"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
+
+
+def unpacked(df: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of the documents again, with another text and its n_chars if given."""
+    names = [f.name for f in df.schema["row"].dataType.fields]
+    new = F.col("text") if text is None else text
+    columns = [F.col("row").getField(c).alias(c) if c != "n_chars" or text is None else F.length(new).cast("long").alias(c) for c in names]
+    at = names.index("lang") if "lang" in names else len(names)
+    return df.select(*columns[:at], new.alias("text"), *columns[at:])
+
+
+def adding(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of df with more columns."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

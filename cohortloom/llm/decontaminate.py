@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, PUNCT, Words, ngram_hashes, row_key, sequence_hashes, signed, slices
+from ._text import LOWER, PUNCT, Words, adding, ngram_hashes, packed, sequence_hashes, signed, slices
 
 GRAMS = 200_000
 _FILTER = (1 << 20) - 1
@@ -125,19 +125,20 @@ def _spans(block):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, grams: int | None = None) -> DataFrame:
-    """doc_id and text of docs with n_words, n_hit, items (sorted ids of the items that occur) and kept_text: the text
+    """row (a struct of docs' other columns) and text with n_words, n_hit, items (sorted ids of the items that occur) and kept_text: the text
     without its runs of hit words, null where there are none (the text stays as it is)."""
     spark, bound = docs.sparkSession, GRAMS if grams is None else grams
     table = benchmark.select("item_id", "text").mapInArrow(_grams(size), "item string, n int, h long, words string").distinct()
     passes = max(1, -(-table.count() // max(1, bound // 2)))  # half as many windows as fit on average: blocks are dealt by hash
     block = lambda i: spark.sparkContext.broadcast(GramSet(table.where(F.pmod(F.xxhash64("h"), F.lit(passes)) == i).toLocalIterator()))
-    kind, added = dict(docs.dtypes)["doc_id"], "n_words long, n_hit long, items array<string>, kept_text string"
+    added = "n_words long, n_hit long, items array<string>, kept_text string"
+    keyed = packed(docs)
+    rows = keyed.drop("k")
     if passes == 1:
-        return docs.select("doc_id", "text").mapInArrow(_mark(block(0)), f"doc_id {kind}, text string, {added}")
-    keyed = docs.select(row_key().alias("k"), "doc_id", "text")
+        return rows.mapInArrow(_mark(block(0)), adding(rows, added))
     found = None
     for i in range(passes):
         more = keyed.select("k", "text").mapInArrow(_spans(block(i)), "k long, low int, high int, item string")
         found = more if found is None else found.unionByName(more)
     spans = found.groupBy("k").agg(F.collect_set(F.struct("low", "high", "item")).alias("spans"))
-    return keyed.join(spans, "k", "left").drop("k").mapInArrow(_mark(None), f"doc_id {kind}, text string, {added}")
+    return keyed.join(spans, "k", "left").drop("k").mapInArrow(_mark(None), adding(rows, added))

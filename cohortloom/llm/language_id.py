@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import LOWER, slices
+from ._text import LOWER, adding, packed, slices
 
 #: Labelled documents to learn from for each language, and those that are landmarks.
 SAMPLE, LANDMARKS = 300, 64
@@ -126,6 +126,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and text of docs with lang_pred and score."""
+    """row (a struct of docs' other columns) and text with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_predict(shared), f"doc_id {dict(docs.dtypes)['doc_id']}, text string, lang_pred string, score double")
+    rows = packed(docs).drop("k")
+    return rows.mapInArrow(_predict(shared), adding(rows, "lang_pred string, score double"))

@@ -25,7 +25,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_duplicates(documents(spark, sf_dir), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_duplicates(documents(spark, sf_dir), window=35).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 SQL["op1_substring_dedup"] = r"""
@@ -42,7 +42,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 @query
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
+    return near_duplicates(documents(spark, sf_dir), shingle=2, percent=80).drop("k")
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,7 +69,7 @@ def _fold(n: int) -> Column:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs, _fold(4) != 2)
-    return language_id.identify(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    return language_id.identify(docs, model).select("row.doc_id", "lang_pred", "score").select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 @query
@@ -80,7 +80,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
-    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return marked.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 SQL["op7_decontamination"] = rf"""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, cut, mix, ngram_hashes, row_key, sequence_hashes, signed, slices
+from ._text import Words, adding, cut, mix, ngram_hashes, packed, row_key, sequence_hashes, signed, slices
 
 GRAM = 6
 #: Distinct segments of one anchor that a block takes; segments of a block before it is closed.
@@ -228,10 +228,6 @@ def _windows(window: int):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(row_key().alias("k"), "doc_id", "text")
-
-
 def duplicate_spans(docs: DataFrame, window: int = 35, hot: int | None = None) -> DataFrame:
     """(k, low, high): word ranges of document k (see row_key) that duplicate windows cover; they may overlap."""
     hot = HOT if hot is None else hot
@@ -248,7 +244,7 @@ def duplicate_spans(docs: DataFrame, window: int = 35, hot: int | None = None) -
     def contents(of: DataFrame) -> DataFrame:
         listed = of.groupBy("k").agg(F.collect_list(F.struct("a", "start", "n")).alias("parts"))
         # The texts are shuffled by k as remove_duplicates shuffles them, so that Spark does it once.
-        return _keyed(docs).join(listed, "k").mapInArrow(_cut_out(window), "a long, k long, start int, words array<long>")
+        return packed(docs).join(listed, "k").mapInArrow(_cut_out(window), "a long, k long, start int, words array<long>")
 
     blocks = contents(parts.where("not hot"))
     spans = blocks.repartition("a").sortWithinPartitions("a").mapInArrow(_parse_blocks(window), "k long, low int, high int").unionByName(whole)
@@ -279,9 +275,8 @@ def _kept(batches):
 
 
 def remove_duplicates(docs: DataFrame, window: int = 35, hot: int | None = None) -> DataFrame:
-    """doc_id and text of docs with n_words, n_removed, kept_sha256 (of the kept words, joined by a space) and kept_text
-    (null where nothing goes: the text stays as it is)."""
+    """row (a struct of docs' other columns) and text with n_words, n_removed, kept_sha256 (of the kept words, joined by a
+    space) and kept_text (null where nothing goes: the text stays as it is)."""
     spans = duplicate_spans(docs, window, hot).groupBy("k").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    rows = _keyed(docs).join(spans, "k", "left").drop("k")
-    kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(_kept, f"doc_id {kind}, text string, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    rows = packed(docs).join(spans, "k", "left").drop("k")
+    return rows.mapInArrow(_kept, adding(rows.drop("spans"), "n_words long, n_removed long, kept_sha256 string, kept_text string"))
