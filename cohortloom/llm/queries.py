@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, licenses
+from . import fingerprints, language_id, language_model, licenses
 from ._text import documents
 from .decontaminate import decontaminate
 from .mixing import repetitions
@@ -105,3 +105,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).select("doc_id", "license", F.round("containment", 6).alias("containment"))
+
+
+@query
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score(documents(spark, sf_dir), _fold(7) != 2)
+    return scored.select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
