@@ -28,7 +28,7 @@ from ._text import Words, cut, row_key, signed, slices
 
 OWN, RARE, KNOWN = 159, 32, 200_000
 CLASSES, WIDTH = 1 + OWN + RARE, 12
-BATCH, NOISE, RATE = 2048, 48, 0.05
+BATCH, NOISE, RATE = 1024, 24, 0.1
 END = np.uint64(0x5EED0FE4D)
 #: The table of the model last used in this worker, by the name of its broadcast.
 _models: dict[str, np.ndarray] = {}
@@ -139,13 +139,14 @@ class LogBilinear:
         self.c = np.stack([np.eye(WIDTH), 0.5 * np.eye(WIDTH)]).astype(np.float32)
         self.b = np.log(self.noise).astype(np.float32)
         self.rng, self.seen = rng, 0
+        self.squares = {x: np.full_like(getattr(self, x), 1e-10) for x in "rqcb"}
 
     def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
         """One pass of noise-contrastive estimation over some positions; each batch shares its noise words."""
         offset = np.log(NOISE * self.noise).astype(np.float32)
         for low in range(0, len(target), BATCH):
             a, b, w = one[low : low + BATCH], two[low : low + BATCH], target[low : low + BATCH]
-            n, rate = len(w), RATE / (1 + self.seen / 4e6)
+            n = len(w)
             drawn = self.rng.choice(CLASSES, NOISE, p=self.noise)
             x, y = self.r[a], self.r[b]
             p = x @ self.c[0] + y @ self.c[1]
@@ -161,12 +162,11 @@ class LogBilinear:
             dr = np.zeros_like(self.r)
             self._add(dr, a, dp @ self.c[0].T)
             self._add(dr, b, dp @ self.c[1].T)
-            self.c[0] += rate / n * (x.T @ dp)
-            self.c[1] += rate / n * (y.T @ dp)
-            # A class that occurs k times in the batch moves by the mean of its gradients, times sqrt(k).
-            self.q += rate * dq / np.sqrt(1 + np.bincount(w, minlength=CLASSES) + 0.0)[:, None].astype(np.float32)
-            self.b += (rate * db / np.sqrt(1 + np.bincount(w, minlength=CLASSES) + 0.0)).astype(np.float32)
-            self.r += rate * dr / np.sqrt(1 + np.bincount(a, minlength=CLASSES) + np.bincount(b, minlength=CLASSES) + 0.0)[:, None].astype(np.float32)
+            dc = np.stack((x.T @ dp, y.T @ dp))
+            for name, step in (("r", dr), ("q", dq), ("c", dc), ("b", db)):  # Adagrad
+                step = (step / n).astype(np.float32)
+                self.squares[name] += step * step
+                setattr(self, name, getattr(self, name) + RATE * step / np.sqrt(self.squares[name]))
             self.seen += n
 
     @staticmethod

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, language_model, licenses
+from . import fingerprints, language_id, language_model, licenses, quality, toxicity
 from ._text import documents
 from .decontaminate import decontaminate
 from .mixing import repetitions
@@ -111,3 +111,21 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = language_model.score(documents(spark, sf_dir), _fold(7) != 2)
     return scored.select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = quality.score(docs, quality.fit(docs, _labels(spark, sf_dir), _fold(5) != 0)).select("row.doc_id", "score")
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir), _fold(4) != 2)).select("row.doc_id", "score")
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
