@@ -159,13 +159,14 @@ class Network:
 
 def _log_odds(tokens: Tokens, y: np.ndarray, places: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Of documents that hold a place, toxic against clean, and whether it is known; places belong to the distinct words in owner."""
-    word_doc = np.unique(np.stack([np.repeat(tokens.doc, WINDOW)[tokens.mask.ravel()], tokens.windows[tokens.mask]], 1), axis=0)
+    n = len(tokens.places)
+    doc, word = np.divmod(np.unique(np.repeat(tokens.doc, WINDOW)[tokens.mask.ravel()] * n + tokens.windows[tokens.mask]), max(1, n))
     order = np.argsort(owner, kind="stable")
-    at = np.searchsorted(owner[order], np.arange(len(tokens.places) + 1))
-    count = np.diff(at)[word_doc[:, 1]]
-    flat = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[:-1][word_doc[:, 1]], count)
-    pairs = np.unique(np.stack([np.repeat(word_doc[:, 0], count), places[order][flat]], 1), axis=0)
-    one, zero = (np.bincount(pairs[y[pairs[:, 0]] == v, 1], minlength=size) for v in (1, 0))
+    at = np.searchsorted(owner[order], np.arange(n + 1))
+    count = np.diff(at)[word]
+    flat = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[:-1][word], count)
+    doc, place = np.divmod(np.unique(np.repeat(doc, count) * size + places[order][flat]), size)
+    one, zero = (np.bincount(place[y[doc] == v], minlength=size) for v in (1, 0))
     odds = np.log((one + 0.2) / (max(1, (y == 1).sum()) + 1)) - np.log((zero + 0.2) / (max(1, (y == 0).sum()) + 1))
     known = one + zero >= LEAST
     known[0] = False
