@@ -125,6 +125,25 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE):
         low = high
 
 
+def runs(batches, key: str):
+    """Tables of the consecutive rows that share key, for batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.asarray(batch.column(batch.schema.get_field_index(key)))
+        edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        if held and held[-1].column(key)[0].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for low, high in zip(edges[:-2].tolist(), edges[1:-1].tolist(), strict=True):
+            yield pa.Table.from_batches([*held, batch.slice(low, high - low)])
+            held = []
+        held.append(batch.slice(int(edges[-2])))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
