@@ -1,22 +1,27 @@
-"""Language-model scoring: a log-bilinear model over word classes, trained in numpy with noise-contrastive estimation.
+"""Language-model scoring: log-bilinear models over word classes and over the words of a class; the classes' is trained in numpy with
+noise-contrastive estimation.
 
 Tokens are the lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+` of a text and one end token. The counts of all training tokens are exact and cover all
-training documents. The OWN most frequent tokens and the end are classes of their own; every other token is in one of RARE classes by a
-hash of its last two bytes. A token's probability is P(class | two classes before) * P(token | class):
+training documents. There are about sqrt(V) classes for V distinct tokens: half are the most frequent tokens, each a class of its own, and half share
+the other tokens in equal parts, ordered by their last two bytes, then by hash. A token's probability is P(class | two classes before) * P(token | class, class before):
 
 * P(class | context) is log-bilinear: the context's class vectors, each times the matrix of its position, predict a vector whose products with the
-  class vectors, plus biases, are the scores. Every training document is learned from: each task trains a replica on all tokens of its part
-  with noise-contrastive estimation (noise: class frequencies), and the replicas are averaged, weighted by tokens. Scores are
-  normalised by a softmax; for CLASSES classes there are CLASSES**2 contexts, so a few batched matrix products give all log-probabilities.
-* P(token | class) of a rare class is (c + 1) / (N + V + 1) with the counts and distinct tokens of the class; an unknown token counts as one more.
-
-Counts of the KNOWN most frequent tokens are broadcast (a fixed number); those of the other tokens are joined by hash. Null or empty texts
+  class vectors, plus biases, are the scores. Every training token is learned from once: documents are dealt by hash to ROUNDS rounds and, within a
+  round, to replicas of about PART tokens, which start from the last average, train with noise-contrastive estimation (noise: class frequencies) and are
+  averaged, weighted by tokens. A document's replica and place depend on its key only, not on the partitions. A score is a sum of one term for
+  each context position, so the sums of a softmax over all contexts are one matrix product.
+* P(token | class, class before) has a vector and a bias for every token of the class: the softmax of bias + vector * context vector, where the context vectors
+  come from the class model. Vectors are fitted in closed form (linear discriminants) from the contexts of all occurrences of the token, drawn to the
+  class's mean by SHRINK further ones; without context the bias is log(c + 1). An unknown token counts as one more, without a vector.
+
+Vectors of the most frequent tokens, KNOWN at most, are broadcast; those of the other tokens are joined by hash. Null or empty texts
 have the end token only. Rows that repeat a doc_id are scored one by one. Without training documents all counts are 0.
 """
 
 from __future__ import annotations
 
 import uuid
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -24,25 +29,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, cut, row_key, signed, slices
+from ._text import Words, cut, mix, row_key, signed, slices
 
+#: Least numbers of tokens with a class of their own and of shared classes; both grow with the vocabulary.
 OWN, RARE, KNOWN = 159, 32, 200_000
 CLASSES, WIDTH = 1 + OWN + RARE, 12
 BATCH, NOISE, RATE = 1024, 24, 0.1
+ROUNDS, PART, SHRINK, FAN = 8, 500_000, 5.0, 64
 END = np.uint64(0x5EED0FE4D)
-#: The table of the model last used in this worker, by the name of its broadcast.
-_models: dict[str, np.ndarray] = {}
+#: The model and its logarithms of sums last used in this worker, by the name of its broadcast.
+_models: dict[str, tuple] = {}
 
 
-def suffix_class(data: np.ndarray, words: Words) -> np.ndarray:
-    """A number below RARE from the last two bytes of each word."""
+def suffixes(data: np.ndarray, words: Words) -> np.ndarray:
+    """The last two bytes of each word as a number."""
     last = data[words.ends - 1].astype(np.int64)
     before = np.where(words.ends - words.starts > 1, data[np.maximum(words.ends - 2, 0)], 0).astype(np.int64)
-    return ((last * 131 + before * 31) * 0x9E3779B1 >> 16) % RARE
+    return last * 256 + before
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and rare class (-1: the end) of the tokens of all texts, one after the other, and where each text starts."""
+    """Hash and suffix (-1: the end) of the tokens of all texts, one after the other, and where each text starts."""
     from ._text import LOWER
 
     data = LOWER[data]
@@ -52,7 +59,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     hashes, rare = np.full(starts[-1], END, np.uint64), np.full(starts[-1], -1, np.int64)
     keep = np.ones(len(hashes), bool)
     keep[starts[1:] - 1] = False
-    hashes[keep], rare[keep] = words.hashes(), suffix_class(data, words) if len(words.starts) else 0
+    hashes[keep], rare[keep] = words.hashes(), suffixes(data, words) if len(words.starts) else 0
     return hashes, rare, starts
 
 
@@ -85,32 +92,36 @@ def _counted(hashes, rare, counts) -> pa.RecordBatch:
 
 
 class Vocabulary:
-    """Frequent tokens with their counts, and the totals of the classes."""
+    """The classes of tokens, from the most frequent tokens (h, rare, n) and the totals of each suffix (rare, n, v)."""
 
     def __init__(self, top: pd.DataFrame, totals: pd.DataFrame):
-        top = top[top["rare"] >= 0]
-        own = top.head(OWN)
-        hashes = top["h"].to_numpy(np.int64).view(np.uint64)
+        self.n, self.v = int(totals["n"].sum()), int(totals["v"].sum())
+        self.end = int(totals["n"][totals["rare"] < 0].sum())
+        self.own, self.shared = self.sizes(self.v)
+        self.size = 1 + self.own + self.shared
+        own = top[top["rare"] >= 0].head(self.own)
+        hashes = own["h"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], top["n"].to_numpy(np.int64)[order]
-        classes = 1 + OWN + top["rare"].to_numpy(np.int64)
-        classes[: len(own)] = 1 + np.arange(len(own))
-        self.classes = classes[order]
-        rare = totals.set_index("rare")
-        self.end = int(rare["n"].get(-1, 0))
-        self.n, self.v = int(rare["n"].sum()), int(rare["v"].sum())
-        self.class_n, self.class_v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for r, n, v in zip(rare.index, rare["n"], rare["v"], strict=True):
-            at = 0 if r < 0 else 1 + OWN + int(r)
-            self.class_n[at], self.class_v[at] = n, v
-        for i, (r, n) in enumerate(zip(own["rare"], own["n"], strict=True)):
-            self.class_n[1 + i], self.class_v[1 + i] = n, 1
-            self.class_n[1 + OWN + int(r)] -= n
-            self.class_v[1 + OWN + int(r)] -= 1
+        self.hashes, self.counts, self.classes = hashes[order], own["n"].to_numpy(np.int64)[order], 1 + order
+        kinds = np.zeros(1 << 16)
+        words = totals[totals["rare"] >= 0]
+        kinds[words["rare"].to_numpy(np.int64)] = words["v"]
+        np.subtract.at(kinds, own["rare"].to_numpy(np.int64), 1)
+        self.share = kinds / max(1, kinds.sum())
+        self.below = np.cumsum(self.share) - self.share
+
+    @staticmethod
+    def sizes(v: int) -> tuple[int, int]:
+        """Tokens with a class of their own and shared classes for v distinct tokens."""
+        return max(OWN, isqrt(v) // 2), max(RARE, isqrt(v) // 2)
 
     def look_up(self, hashes: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and count of each token; -1 is the count of a token that isn't among the frequent ones."""
-        classes, counts = np.where(rare < 0, 0, 1 + OWN + rare), np.where(rare < 0, self.end, -1)
+        """Class and count of each token; -1 is the count of a token of a shared class."""
+        at = np.maximum(rare, 0)
+        place = self.below[at] + self.share[at] * ((mix(hashes) >> np.uint64(11)) / float(1 << 53))
+        classes = 1 + self.own + np.minimum((place * self.shared).astype(np.int64), self.shared - 1)
+        classes[rare < 0] = 0
+        counts = np.where(rare < 0, self.end, -1)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             known = (self.hashes[at] == hashes) & (rare >= 0)
@@ -134,8 +145,9 @@ class LogBilinear:
     def __init__(self, noise: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.noise = noise / noise.sum()
-        self.r = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
+        self.size = len(noise)
+        self.r = rng.normal(0, 0.1, (self.size, WIDTH)).astype(np.float32)
+        self.q = rng.normal(0, 0.1, (self.size, WIDTH)).astype(np.float32)
         self.c = np.stack([np.eye(WIDTH), 0.5 * np.eye(WIDTH)]).astype(np.float32)
         self.b = np.log(self.noise).astype(np.float32)
         self.rng, self.seen = rng, 0
@@ -147,7 +159,7 @@ class LogBilinear:
         for low in range(0, len(target), BATCH):
             a, b, w = one[low : low + BATCH], two[low : low + BATCH], target[low : low + BATCH]
             n = len(w)
-            drawn = self.rng.choice(CLASSES, NOISE, p=self.noise)
+            drawn = self.rng.choice(self.size, NOISE, p=self.noise)
             x, y = self.r[a], self.r[b]
             p = x @ self.c[0] + y @ self.c[1]
             good = np.einsum("ij,ij->i", p, self.q[w]) + self.b[w] - offset[w]
@@ -158,7 +170,7 @@ class LogBilinear:
             dq = np.zeros_like(self.q)
             self._add(dq, w, up[:, None] * p)
             np.add.at(dq, drawn, -(down.T @ p))
-            db = np.bincount(w, up, CLASSES) - np.bincount(drawn, down.sum(0), CLASSES)
+            db = np.bincount(w, up, self.size) - np.bincount(drawn, down.sum(0), self.size)
             dr = np.zeros_like(self.r)
             self._add(dr, a, dp @ self.c[0].T)
             self._add(dr, b, dp @ self.c[1].T)
@@ -176,83 +188,239 @@ class LogBilinear:
         out[ids] += np.add.reduceat(rows[order], first, axis=0)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.c, self.b)])
+        """The parameters and the sums of their squared steps."""
+        return np.concatenate([x.ravel() for held in ([self.r, self.q, self.c, self.b], self.squares.values()) for x in held])
 
     def set(self, flat: np.ndarray) -> None:
         at = 0
-        for name in ("r", "q", "c", "b"):
-            old = getattr(self, name)
-            setattr(self, name, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
+        for held in (self.__dict__, self.squares):
+            for name in ("r", "q", "c", "b"):
+                old = held[name]
+                held[name] = flat[at : at + old.size].reshape(old.shape).astype(np.float32)
+                at += old.size
+
+    def near(self) -> np.ndarray:
+        """The context vector of the class before a token."""
+        return self.r @ self.c[0]
+
+    def terms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """x, y, z with log P(class | one, two) = x[one, class] + y[two, class] - z[one, two]."""
+        x, y = self.near() @ self.q.T, (self.r @ self.c[1]) @ self.q.T + self.b
+        top = y.max(1, keepdims=True)
+        right = np.exp(y - top, dtype=np.float64).T
+        z = np.empty((self.size, self.size), np.float32)
+        for low in range(0, self.size, 256):
+            rows = x[low : low + 256]
+            most = rows.max(1, keepdims=True)
+            z[low : low + 256] = np.log(np.exp(rows - most, dtype=np.float64) @ right) + most + top.T
+        return x, y, z
 
     def table(self) -> np.ndarray:
-        """log10 P(class | one, two) at [one * CLASSES + two, class], by batched products."""
-        out = np.empty((CLASSES * CLASSES, CLASSES), np.float32)
-        near, far = self.r @ self.c[0], self.r @ self.c[1]
-        for i in range(CLASSES):
-            scores = (near[i] + far) @ self.q.T + self.b
-            scores -= scores.max(1, keepdims=True)
-            out[i * CLASSES : (i + 1) * CLASSES] = (scores - np.log(np.exp(scores).sum(1, keepdims=True))) / np.log(10)
-        return out
+        """log10 P(class | one, two) at [one * size + two, class]."""
+        x, y, z = self.terms()
+        return ((x[:, None] + y[None] - z[:, :, None]) / np.log(10)).reshape(-1, self.size)
+
 
+def _encode(shared, parts):
+    """The replica, key and classes of each document."""
+
+    def run(batches):
+        vocabulary = shared.value
+        kind = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
+        for batch in batches:
+            for rows, data, at in slices(batch):
+                hashes, rare, starts = tokens(data, at)
+                classes, _ = vocabulary.look_up(hashes, rare)
+                raw, edges = classes.astype(kind).tobytes(), starts * kind().itemsize
+                keys = np.asarray(rows.column("k"))
+                replica = (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                text = pa.array([raw[i:j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(replica), pa.array(keys), text], ["replica", "k", "classes"])
 
-def _noise(vocabulary: Vocabulary) -> np.ndarray:
-    return (vocabulary.class_n + 1.0) ** 1.0
+    return run
+
+
+def _class_sizes(shared):
+    def run(batches):
+        vocabulary = shared.value
+        for batch in batches:
+            hashes, rare, n = (np.asarray(batch.column(c)) for c in ("h", "rare", "n"))
+            classes, _ = vocabulary.look_up(hashes.view(np.uint64), rare.astype(np.int64))
+            n = np.bincount(classes, n, vocabulary.size)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64))], ["c", "n"])
+
+    return run
 
 
 def _train(shared):
-    """Trains a replica on all tokens of a part: its parameters in blocks, each with the part's number of tokens."""
+    """Trains a replica on all its tokens: its parameters in blocks, each with the replica's number of tokens."""
+
+    def run(key, table):
+        noise, start = shared.value
+        table = table.sort_by("k")
+        kind = np.uint16 if len(noise) <= 1 << 16 else np.uint32
+        classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), kind).astype(np.int64)
+        starts = np.concatenate(([0], np.flatnonzero(classes == 0) + 1))
+        model = LogBilinear(noise)
+        if start is not None:
+            model.set(start)
+        model.rng = np.random.default_rng([7, key[0].as_py()])
+        one, two = contexts(classes, starts)
+        order = model.rng.permutation(len(classes))
+        model.train(one[order], two[order], classes[order])
+        blocks = np.array_split(model.flat().astype(np.float64), 8)
+        return pa.table({"block": pa.array(range(8), pa.int32()), "replica": pa.array([key[0].as_py()] * 8, pa.int64()), "seen": pa.array([model.seen] * 8, pa.int64()), "values": pa.array(blocks, pa.list_(pa.float64()))})
+
+    return run
+
+
+_BLOCK = "block int, replica long, seen long, values array<double>"
+
+
+def _average(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("replica")
+    values = np.average(np.stack(rows["values"].to_list()), axis=0, weights=rows["seen"])
+    return pd.DataFrame({"block": rows["block"].iloc[:1], "replica": rows["replica"].iloc[:1], "seen": [rows["seen"].sum()], "values": [values]})
+
+
+def train_classes(learned: DataFrame, vocabulary: Vocabulary, noise: np.ndarray) -> LogBilinear:
+    """The model of classes, from texts with their keys."""
+    context, model = learned.sparkSession.sparkContext, LogBilinear(noise)
+    if not vocabulary.n:
+        return model
+    parts = ROUNDS * max(1, round(vocabulary.n / ROUNDS / PART))
+    encoded, start = cut(learned.mapInArrow(_encode(context.broadcast(vocabulary), parts), "replica long, k long, classes binary")), None
+    for turn in range(ROUNDS):
+        blocks = encoded.where(F.col("replica") % ROUNDS == turn).groupBy("replica").applyInArrow(_train(context.broadcast((noise, start))), _BLOCK)
+        left, span = parts // ROUNDS, ROUNDS
+        while left > FAN:
+            left, span = -(-left // FAN), span * FAN
+            blocks = blocks.groupBy("block", F.floor(F.col("replica") / span).alias("_")).applyInPandas(_average, _BLOCK)
+        found = blocks.groupBy("block").applyInPandas(_average, _BLOCK).toPandas().sort_values("block")
+        if len(found):
+            start = np.concatenate([np.asarray(v) for v in found["values"]])
+    model.set(start)
+    return model
+
+
+def _seen_after(shared):
+    """How often each token of a shared class comes after each class."""
 
     def run(batches):
-        vocabulary, model = shared.value, None
+        vocabulary, parts, held = shared.value, [], 0
+
+        def flush():
+            h, c, i, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            order = np.lexsort((i, h))
+            h, c, i, n = h[order], c[order], i[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]))))
+            return h[first], c[first], i[first], np.add.reduceat(n, first)
+
+        def out(h, c, i, n):
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(signed(h)), pa.array(i.astype(np.int32)), pa.array(n)], ["c", "h", "i", "n"])
+
         for batch in batches:
             for _, data, at in slices(batch):
-                model = model or LogBilinear(_noise(vocabulary))
                 hashes, rare, starts = tokens(data, at)
-                classes, _ = vocabulary.look_up(hashes, rare)
-                one, two = contexts(classes, starts)
-                order = model.rng.permutation(len(classes))
-                model.train(one[order], two[order], classes[order])
-        if model is not None:
-            blocks = np.array_split(model.flat(), 8)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(8, dtype=np.int32)), pa.array([model.seen] * 8, pa.int64()), pa.array([b.tolist() for b in blocks], pa.list_(pa.float32()))], ["block", "seen", "values"])
+                classes, counts = vocabulary.look_up(hashes, rare)
+                one, _ = contexts(classes, starts)
+                left = counts < 0
+                parts.append((hashes[left], classes[left], one[left], np.ones(left.sum(), np.int64)))
+                held += left.sum()
+                if held > 2_000_000:
+                    yield out(*flush())
+                    parts, held = [], 0
+        if held:
+            yield out(*flush())
 
     return run
 
 
-def _average(rows: pd.DataFrame) -> pd.DataFrame:
-    values = np.average(np.stack(rows["values"].to_list()), axis=0, weights=rows["seen"])
-    return pd.DataFrame({"block": [rows["block"].iloc[0]], "values": [values.astype(np.float32)]})
+def fit_words(x: np.ndarray, h: np.ndarray, i: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the tokens h of a class, each seen n times after class i with context vector x[i]: distinct tokens, counts, vectors with the bias
+    last, and for each context the logarithm of the sum of exp(vector * x + bias) over them and the unknown token."""
+    words, at = np.unique(h, return_inverse=True)
+    count, after = np.bincount(at, n), np.bincount(i, n, len(x))
+    mean = after @ x / after.sum()
+    centred = x - mean
+    spread = (centred * after[:, None]).T @ centred / after.sum()
+    spread += np.eye(x.shape[1]) * (1e-6 + 0.01 * np.trace(spread) / x.shape[1])
+    off = np.stack([np.bincount(at, n * centred[i, d]) for d in range(x.shape[1])], 1) / (count + SHRINK)[:, None]
+    vectors = np.linalg.solve(spread, off.T).T
+    bias = np.log(count + 1) - 0.5 * (vectors * off).sum(1) - vectors @ mean
+    w = np.concatenate([vectors, bias[:, None]], 1).astype(np.float32)
+    sums, top = np.ones(len(x)), np.zeros(len(x), np.float32)
+    for low in range(0, len(w), step := max(1, (1 << 21) // len(x))):
+        scores = x.astype(np.float32) @ w[low : low + step, :-1].T + w[low : low + step, -1]
+        most = np.maximum(top, scores.max(1))
+        sums = sums * np.exp(top - most) + np.exp(scores - most[:, None]).sum(1)
+        top = most
+    return words, count.astype(np.int64), w, np.log(sums) + top
+
+
+def _fit(shared):
+    """A line for each token of a class, and one (n: -1) with the sums of the class by context."""
+
+    def run(key, table):
+        h, i, n = (np.asarray(table.column(c).combine_chunks()) for c in "hin")
+        words, count, w, z = fit_words(shared.value, h, i, n)
+        c = pa.array(np.full(len(words) + 1, key[0].as_py(), np.int32))
+        edges = np.concatenate((np.arange(len(w) + 1) * w.shape[1], [w.size + len(z)])).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate((w.ravel(), z.astype(np.float32)))))
+        return pa.table({"c": c, "h": pa.array(np.append(words, 0)), "n": pa.array(np.append(count, -1)), "w": lists})
+
+    return run
+
+
+class Scorer:
+    """The models with the vectors of the most frequent tokens of shared classes."""
+
+    def __init__(self, vocabulary: Vocabulary, model: LogBilinear, top: pa.Table, sums: pa.Table):
+        self.vocabulary, self.model, self.name = vocabulary, model, uuid.uuid4().hex
+        h, n, w = (top.column(c).combine_chunks() for c in ("h", "n", "w"))
+        hashes = np.asarray(h).view(np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], np.asarray(n)[order]
+        self.w = np.asarray(w.flatten()).reshape(-1, WIDTH + 1)[order]
+        self.z = np.zeros((vocabulary.size, vocabulary.size), np.float32)
+        self.z[np.asarray(sums.column("c"))] = np.asarray(sums.column("w").combine_chunks().flatten()).reshape(-1, vocabulary.size)
+
+    def score(self, data: np.ndarray, at: np.ndarray):
+        """Of each token its hash, the class before, the count (-1: to be joined), and its log10 probability, without the token's own score where it is to be joined."""
+        if self.name not in _models:
+            _models.clear()
+            _models[self.name] = (*self.model.terms(), self.model.near())
+        x, y, z, near = _models[self.name]
+        hashes, rare, starts = tokens(data, at)
+        classes, counts = self.vocabulary.look_up(hashes, rare)
+        one, two = contexts(classes, starts)
+        log = (x[one, classes] + y[two, classes] - z[one, two]).astype(np.float64) - self.z[classes, one]
+        if len(self.hashes):
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = np.flatnonzero((self.hashes[place] == hashes) & (counts < 0))
+            place = place[known]
+            counts[known] = self.counts[place]
+            log[known] += np.einsum("ij,ij->i", near[one[known]], self.w[place, :-1]) + self.w[place, -1]
+        return hashes, one, counts, log / np.log(10), starts
 
 
 def _score(shared):
-    """For each row one line of sums (h: its key, tf 0), and a line for each distinct token whose count must be joined."""
+    """For each row one line of sums (h: its key, tf 0), and a line for each distinct token and class before it whose score must be joined."""
 
     def run(batches):
-        name, vocabulary, parameters = shared.value
-        if name not in _models:
-            model = LogBilinear(_noise(vocabulary))
-            model.set(parameters)
-            _models.clear()
-            _models[name] = model.table()
-        table = _models[name]
-        inside = np.log10(vocabulary.class_n + vocabulary.class_v + 1.0)
-        inside[: 1 + OWN] = 0
+        scorer = shared.value
         for batch in batches:
             for rows, data, at in slices(batch):
-                hashes, rare, starts = tokens(data, at)
-                classes, counts = vocabulary.look_up(hashes, rare)
-                one, two = contexts(classes, starts)
-                log = table[one * CLASSES + two, classes] - inside[classes]
+                hashes, one, counts, log, starts = scorer.score(data, at)
                 own = np.where(counts >= 0, np.log10(np.maximum(counts, 0) + 1.0), 0)
-                log = log + np.where(classes > OWN, own, 0)
-                sums = [np.add.reduceat(x, starts[:-1]) for x in (own, log.astype(np.float64), (counts > 0).astype(np.int64))]
+                sums = [np.add.reduceat(x, starts[:-1]) for x in (own, log, (counts > 0).astype(np.int64))]
                 keys = np.asarray(rows.column("k"))
-                doc = np.repeat(np.arange(rows.num_rows), np.diff(starts))[counts < 0]
-                left = hashes[counts < 0]
-                order = np.lexsort((left, doc))
-                left, doc = left[order], doc[order]
-                first = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (doc[1:] != doc[:-1])))) if len(left) else np.zeros(0, np.int64)
+                open_ = counts < 0
+                doc, left, before = np.repeat(np.arange(rows.num_rows), np.diff(starts))[open_], hashes[open_], one[open_]
+                order = np.lexsort((before, left, doc))
+                left, doc, before = left[order], doc[order], before[order]
+                first = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (doc[1:] != doc[:-1]) | (before[1:] != before[:-1])))) if len(left) else np.zeros(0, np.int64)
                 tf = np.diff(np.concatenate((first, [len(left)])))
                 n, m = rows.num_rows, len(first)
                 none = pa.nulls(m, pa.float64())
@@ -260,13 +428,35 @@ def _score(shared):
                     pa.array(np.concatenate((keys, keys[doc[first]]))),
                     pa.array(np.concatenate((keys, signed(left[first])))),
                     pa.array(np.concatenate((np.zeros(n, np.int32), tf.astype(np.int32)))),
+                    pa.array(np.concatenate((np.zeros(n, np.int32), before[first].astype(np.int32)))),
                     pa.concat_arrays([rows.column("doc_id").cast(pa.int64()), pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([pa.array(np.diff(starts).astype(np.int64)), pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([pa.array(sums[2]), pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([pa.array(sums[0]), none]),
                     pa.concat_arrays([pa.array(sums[1]), none]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["k", "h", "tf", "doc_id", "n_tokens", "n_known", "base", "log"])
+                yield pa.RecordBatch.from_arrays(columns, ["k", "h", "tf", "i", "doc_id", "n_tokens", "n_known", "base", "log"])
+
+    return run
+
+
+_LINES = "k long, h long, tf int, i int, doc_id long, n_tokens long, n_known long, base double, log double"
+
+
+def _joined(shared):
+    """Adds the scores of joined tokens; an unknown token's is 0."""
+
+    def run(batches):
+        near = shared.value
+        for batch in batches:
+            w, tf, i = batch.column("w"), np.asarray(batch.column("tf")), np.asarray(batch.column("i"))
+            there = np.flatnonzero((tf > 0) & np.asarray(w.is_valid()))
+            gain = np.zeros(batch.num_rows)
+            if len(there):
+                v = np.asarray(w.take(pa.array(there)).flatten()).reshape(len(there), -1)
+                gain[there] = tf[there] * (np.einsum("ij,ij->i", near[i[there]], v[:, :-1]) + v[:, -1]) / np.log(10)
+            keep = ["k", "tf", "doc_id", "n_tokens", "n_known", "base", "log", "n"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(gain)], [*keep, "gain"])
 
     return run
 
@@ -274,22 +464,32 @@ def _score(shared):
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """For each row of docs: doc_id, n_tokens, n_known (tokens that occur in training), train_tokens, base_score (log10 of the add-one unigram
     probability) and score (the model's log10 probability of the text)."""
-    spark = docs.sparkSession
-    learned = docs.where(train).select("text")
-    counts = cut(learned.mapInArrow(_count, "h long, rare int, n long").groupBy("h").agg(F.min("rare").alias("rare"), F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "h").limit(KNOWN).toPandas()
+    context = docs.sparkSession.sparkContext
+    learned = docs.where(train).select(row_key().alias("k"), "text")
+    counts = cut(learned.select("text").mapInArrow(_count, "h long, rare int, n long").groupBy("h").agg(F.min("rare").alias("rare"), F.sum("n").alias("n")))
     totals = counts.groupBy("rare").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
+    top = counts.where("rare >= 0").orderBy(F.desc("n"), "h").limit(Vocabulary.sizes(int(totals["v"].sum()))[0]).toPandas()
     vocabulary = Vocabulary(top, totals)
-    replicas = learned.mapInArrow(_train(spark.sparkContext.broadcast(vocabulary)), "block int, seen long, values array<float>")
-    blocks = replicas.groupBy("block").applyInPandas(_average, "block int, values array<float>").toPandas().sort_values("block")
-    parameters = np.concatenate([np.asarray(v, np.float32) for v in blocks["values"]]) if len(blocks) else LogBilinear(_noise(vocabulary)).flat()
-    lines = docs.select(row_key().alias("k"), "doc_id", "text").mapInArrow(_score(spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, parameters))), "k long, h long, tf int, doc_id long, n_tokens long, n_known long, base double, log double")
-    joined = lines.join(counts.select("h", "n"), "h", "left")
+    known = context.broadcast(vocabulary)
+    sizes = counts.mapInArrow(_class_sizes(known), "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    noise = np.ones(vocabulary.size)
+    noise[sizes["c"].to_numpy(np.int64)] += sizes["n"]
+    model = train_classes(learned, vocabulary, noise)
+    near = model.near()
+    after = learned.select("text").mapInArrow(_seen_after(known), "c int, h long, i int, n long")
+    fitted = cut(after.groupBy("c").applyInArrow(_fit(context.broadcast(near.astype(np.float64))), "c int, h long, n long, w array<float>"))
+    words = fitted.where("n >= 0").select("h", "n", "w")
+    ranks = words.groupBy("n").agg(F.count("*").alias("v")).toPandas().sort_values("n", ascending=False)
+    frequent = ranks["n"][ranks["v"].cumsum() <= KNOWN]
+    top = words.where(F.col("n") >= int(frequent.min())) if len(frequent) else words.limit(0)
+    scorer = Scorer(vocabulary, model, top.toArrow(), fitted.where("n < 0").select("c", "w").toArrow())
+    lines = docs.select(row_key().alias("k"), "doc_id", "text").mapInArrow(_score(context.broadcast(scorer)), _LINES)
+    joined = lines.join(words, "h", "left").mapInArrow(_joined(context.broadcast(near)), "k long, tf int, doc_id long, n_tokens long, n_known long, base double, log double, n long, gain double")
     rare = F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))
     sums = joined.groupBy("k").agg(
         F.count("n_tokens").alias("rows"), F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens"),
         (F.coalesce(F.sum("n_known"), F.lit(0)) + F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0))).alias("n_known"),
-        (F.sum(F.coalesce("base", F.lit(0.0))) + F.sum(rare)).alias("base"), (F.sum(F.coalesce("log", F.lit(0.0))) + F.sum(rare)).alias("log"),
+        (F.sum(F.coalesce("base", F.lit(0.0))) + F.sum(rare)).alias("base"), F.sum(F.coalesce("log", F.lit(0.0)) + F.col("gain")).alias("log"),
     )
     # Equal rows have one key: their sums are divided, and each gets its line.
     each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))

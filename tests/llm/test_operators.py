@@ -156,6 +156,30 @@ def test_language_model(spark, texts):
     assert all(r["score"] < 0 for r in out)
 
 
+def test_language_model_words_in_context(spark):
+    """Tokens of one suffix and one count, outside the most frequent, have scores by context; these don't depend on the partitions."""
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(170)]
+    texts = [" ".join(x for _ in range(12) for x in (r.choice(common), r.choice(("left xaa", "right yaa") if i % 6 == 0 else ("left", "right")), *r.sample(common, 8))) for i in range(300)]
+    docs = table(spark, [*enumerate(texts), (300, "left xaa"), (301, "left yaa"), (302, "right xaa"), (303, "right yaa")])
+    one, many = ({x["doc_id"]: x["score"] for x in language_model.score(docs.repartition(n), F.col("doc_id") < 300).collect()} for n in (1, 7))
+    assert all(one[i] == pytest.approx(many[i], abs=1e-4) for i in one)
+    assert one[300] + one[303] > one[301] + one[302] + 0.2
+
+
+def test_language_model_classes_grow():
+    import numpy as np
+
+    assert language_model.Vocabulary.sizes(0) == (language_model.OWN, language_model.RARE)
+    assert sum(language_model.Vocabulary.sizes(4_000_000)) == 2000
+    x = np.random.default_rng(1).normal(size=(9, 3))
+    h, i, n = np.array([5, 5, 8, 8]), np.array([0, 1, 2, 3]), np.array([30, 2, 2, 30])
+    words, count, w, z = language_model.fit_words(x, h, i, n)
+    assert words.tolist() == [5, 8] and count.tolist() == [32, 32]
+    p = np.exp(x @ w[:, :-1].T + w[:, -1] - z[:, None])
+    assert np.allclose(p.sum(1) + np.exp(-z), 1, atol=1e-5) and p[0, 0] > p[0, 1] and p[3, 1] > p[3, 0]
+
+
 def test_log_bilinear_is_normalised():
     import numpy as np
 
