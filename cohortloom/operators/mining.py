@@ -7,6 +7,9 @@ candidate sets are small and don't grow with the cases.
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +18,14 @@ from pyspark.sql import functions as F
 from ..functions.scalars import chi2, outcome_lift
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder; one of its own is made where the session names none."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return df.checkpoint(eager=True)
+
+
 def support(nodes: DataFrame) -> DataFrame:
     """(node, n, pos) of nodes (case_id, node, y), distinct by case and node."""
     return nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("pos"))
@@ -61,6 +72,21 @@ def bundle(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
+def bundles(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs (a, b, jaccard) that `bundle` chooses in order of falling jaccard, then a, b: in rounds, every pair that is the best of both its
+    nodes is taken, and pairs with a taken node are dropped, until none is left. The best pair of all is taken in each round, so rounds end."""
+    left, taken = cut(pairs.select("a", "b", "jaccard")), None
+    while not left.isEmpty():
+        ends = left.select(F.struct((-F.col("jaccard")).alias("j"), "a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("node"))
+        best = ends.groupBy("node").agg(F.min("pair").alias("best"))
+        chosen = cut(best.groupBy("best.a", "best.b").agg(F.count("*").alias("_n")).where("_n = 2").select("a", "b"))
+        used = chosen.select(F.explode(F.array("a", "b")).alias("node"))
+        for end in "ab":
+            left = left.join(used.withColumnRenamed("node", end), end, "left_anti")
+        left, taken = cut(left.select("a", "b", "jaccard")), chosen if taken is None else cut(taken.unionByName(chosen))
+    return pairs.select("a", "b").limit(0) if taken is None else taken
+
+
 def score_pairs(pairs: DataFrame, asymmetry: float, markov: float, normalized: bool = False) -> DataFrame:
     """Directed pairs (src, dst, diff, markov, lift, power) that pass both gates.
 

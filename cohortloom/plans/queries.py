@@ -94,8 +94,7 @@ def jaccard_pairs(spark, d):
 @query()
 def jaccard_bundles(spark, d):
     wide, *_ = _margins(spark, d)
-    ranked = mining.jaccard(wide, C.min_cooccurrence, 0.5).orderBy(F.desc("jaccard"), "a", "b").limit(10_000).select("a", "b")
-    return spark.createDataFrame([(f"BUNDLE_{a}_{b}", a, b) for a, b in mining.bundle([tuple(r) for r in ranked.collect()])], "bundle string, a string, b string")
+    return mining.bundles(mining.jaccard(wide, C.min_cooccurrence, 0.5)).select(F.concat(F.lit("BUNDLE_"), "a", F.lit("_"), "b").alias("bundle"), "a", "b")
 
 
 @query(f"""WITH {A.TRIPLES}, p AS (SELECT o.*, n_ab, sup.n AS n_3, total, positives, n_abc AS n, CAST(pos_abc AS DOUBLE) AS pos FROM ord AS o JOIN pairs ON a = least(s1, s2) AND b = greatest(s1, s2) JOIN sup ON sup.node = s3 CROSS JOIN tot

@@ -44,6 +44,25 @@ def test_bundle():
     assert mining.bundle([("a", "b"), ("b", "c"), ("c", "d")]) == [("a", "b"), ("c", "d")]
 
 
+def test_bundles_match_the_ranked_choice(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(a, b, r.randint(50, 60) / 100) for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" if a < b and r.random() < 0.5]
+    got = mining.bundles(spark.createDataFrame(rows, "a string, b string, jaccard double")).collect()
+    assert sorted(map(tuple, got)) == sorted(mining.bundle([x[:2] for x in sorted(rows, key=lambda x: (-x[2], *x[:2]))]))
+    assert mining.bundles(spark.createDataFrame([], "a string, b string, jaccard double")).count() == 0
+
+
+def test_bundles_have_no_cap(spark, monkeypatch):
+    """12,000 pairs of unused nodes are 12,000 bundles, also by the query."""
+    from cohortloom.plans import queries
+
+    wide = spark.range(12_000).selectExpr("concat('x', id) AS a", "concat('y', id) AS b", "9 AS n_ab", "10 AS n_a", "10 AS n_b")
+    monkeypatch.setattr(queries, "_margins", lambda *_: (wide, None, None))
+    assert queries.QUERIES["jaccard_bundles"](spark, "").count() == 12_000
+
+
 def test_logic_gate(spark):
     pairs = [("A", "A"), ("NOT_A", "NOT_B"), ("A", "NOT_A"), ("A", "NOT_B"), ("CCSR_RES005", "NOT_CCSR_RES006")]
     df = spark.createDataFrame(pairs, "a string, b string")
