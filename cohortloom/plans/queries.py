@@ -354,17 +354,31 @@ def confusion(spark, d):
     return metrics.confusion(A.scored(spark, d), 0.5)
 
 
+def _supported(spark, d):
+    """The one-hot table of all nodes above the support floor with the outcome, and their names."""
+    nodes, cases = A.basket(spark, d), A.cases(spark, d)
+    floor = F.greatest(F.lit(C.min_support), F.floor(F.col("total") * C.support))
+    rows = mining.support(nodes).crossJoin(F.broadcast(mining.totals(cases))).where(F.col("n") >= floor).select("node").collect()
+    values = sorted(r["node"] for r in rows)
+    return features.onehot(nodes, "case_id", "node", values).join(cases, "case_id").withColumnsRenamed({v: f"v{i}" for i, v in enumerate(values)}), values
+
+
+def _named(found, values):
+    """The result of a model of the columns v0, v1, ... with the names of the nodes."""
+    names = F.create_map(*(F.lit(x) for i, v in enumerate(values) for x in (f"v{i}", v)))
+    return found.withColumn("feature", names[F.col("feature")])
+
+
 @query()
 def l1_logistic(spark, d):
-    values = ["F_A", "F_N", "F_R", "Q_HIGH", "T_ECONOMY", "T_LARGE"]
-    wide = features.onehot(A.basket(spark, d), "case_id", "node", values).join(A.cases(spark, d), "case_id")
-    return models.logistic(wide, values, "y", c=0.1, l1=True)
+    wide, values = _supported(spark, d)
+    return _named(models.logistic(wide, [f"v{i}" for i in range(len(values))], "y", c=0.1, l1=True), values)
 
 
 @query()
 def bernoulli_nb(spark, d):
-    values = ["F_A", "F_N", "F_R", "Q_HIGH"]
-    return models.bernoulli_nb(features.onehot(A.basket(spark, d), "case_id", "node", values).join(A.cases(spark, d), "case_id"), values, "y")
+    wide, values = _supported(spark, d)
+    return _named(models.bernoulli_nb(wide, [f"v{i}" for i in range(len(values))], "y"), values)
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -106,3 +106,12 @@ def test_codes(spark):
     df = spark.createDataFrame([("'0A.1 '", "000", "20240230.0"), ("nan", "0120", "20240229")], "c string, z string, d string")
     rows = df.select(S.clean_code(F.col("c")), S.strip_zeros(F.col("z")), S.parse_day(F.col("d"))).collect()
     assert [tuple(r) for r in rows] == [("0A1", "0", None), (None, "120", datetime.date(2024, 2, 29))]
+
+
+@pytest.mark.parametrize("name", ["bernoulli_nb", "l1_logistic"])
+def test_models_take_all_supported_nodes(spark, name):
+    from cohortloom.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    want = {r["node"] for r in QUERIES["node_support"](spark, d).where("supported").collect()}
+    assert {r["feature"] for r in QUERIES[name](spark, d).collect()} == want
