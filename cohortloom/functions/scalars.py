@@ -63,9 +63,10 @@ def outcome_lift(pos: Column, n: Column, base: Column) -> Column:
 
 def chi2(n11: Column, n1: Column, n_1: Column, n: Column) -> Column:
     """Chi-square of a 2x2 table from its joint count, margins and total, without correction; NULL if any cell is 0."""
+    n11, n1, n_1, n = (x.cast("double") for x in (n11, n1, n_1, n))  # products of counts overflow a long
     a, b, c = n11, n1 - n11, n_1 - n11
     d = n - n1 - n_1 + n11
-    value = n * (a * d - b * c) * (a * d - b * c) / (n1.cast("double") * (n - n1) * n_1 * (n - n_1))
+    value = n * (a * d - b * c) * (a * d - b * c) / (n1 * (n - n1) * n_1 * (n - n_1))
     return F.when((a > 0) & (b > 0) & (c > 0) & (d > 0), value)
 
 
