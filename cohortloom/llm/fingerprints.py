@@ -6,11 +6,13 @@ parts of the table, so parts nominate terms, and nominees are counted in a secon
 terms can be in the lexicon, whatever the corpus; if more than NOMINEES are nominated, all terms are counted by a shuffle instead.
 
 A subset of level j keeps each term with probability 4**-j, by a seeded hash; level 0 is the whole lexicon, and each other level has SUBSETS
-subsets. The fingerprint is the number of terms followed by, for each subset, a 32-bit hash of the sorted distinct terms of the text in it (0 if none). A text
-without terms in the band is fingerprinted on all its terms.
+subsets. The fingerprint is the number of terms followed by, for each subset, a 32-bit hash of the sorted distinct terms of the text in it (0 if none), as a
+string of 8 hex digits each. A text without terms in the band is fingerprinted on all its terms.
 
 The likeness of two fingerprints is the share of subsets with equal hashes among those where either has terms, on the levels that are sparse enough
 for the larger of them; 1 if the fingerprints are equal. Texts: null counts as empty, and its fingerprint is all zeros. Equal texts have equal fingerprints.
+Very long texts are read whole. doc_id is a number; rows of one doc_id are ordered by text, and rows without come last. An empty table gives an empty
+result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -142,11 +144,13 @@ def _compare(rows: list[tuple], terms: Terms):
     changed = [edited(t, x).encode() for _, t, x in rows]
     prints = fingerprints([*own, *changed, *after], terms)
     n = len(rows)
-    lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * p.shape[1], p.shape[1], dtype=np.int32)), pa.array(p.ravel())) for p in (prints[:n], prints[n : 2 * n])]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(t) for _, t, _ in rows], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in changed]), *lists, pa.array(likeness(prints[:n], prints[n : 2 * n])), pa.array(likeness(prints[:n], prints[2 * n :]))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+    width = 4 * prints.shape[1]
+    raw = prints.astype(">u4").tobytes()
+    text = [raw[i : i + width].hex() for i in range(0, 2 * n * width, width)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(t) for _, t, _ in rows], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in changed]), pa.array(text[:n]), pa.array(text[n:]), pa.array(likeness(prints[:n], prints[n : 2 * n])), pa.array(likeness(prints[:n], prints[2 * n :]))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint array<long>, edited_fingerprint array<long>, near_edited double, near_next double"
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _pairs(terms):
@@ -214,7 +218,10 @@ def compare_with_next(docs: DataFrame, terms: Terms, parts: int | None = None) -
     placed = rows.withColumn("part", F.coalesce(F.when(F.col("doc_id").isNotNull(), part), F.lit(len(bounds) + 1)).cast("int"))
     placed = placed.repartition("part").sortWithinPartitions("part", F.col("doc_id").desc_nulls_last(), "text")
     ends = placed.mapInArrow(_ends, "part int, first string, doc_id long, text string")
+    # Only numbers of parts meet in one task; the texts at their ends are then joined.
     order = Window.orderBy("part")
-    turn = F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    linked = ends.withColumn("after", F.coalesce(F.lead("first").over(order), turn)).select("doc_id", "text", "after")
+    turn = F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    following = placed.select("part").distinct().withColumn("next", F.coalesce(F.lead("part").over(order), turn))
+    first = ends.select(F.col("part").alias("next"), F.col("first").alias("after"))
+    linked = ends.select("part", "doc_id", "text").join(following, "part").join(first, "next").select("doc_id", "text", "after")
     return placed.mapInArrow(_pairs(shared), _SCHEMA).unionByName(linked.mapInArrow(_compare_ends(shared), _SCHEMA))
