@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 U64 = np.uint64
 _P, _Q = U64(0x9E3779B97F4A7C55), U64(0xC2B2AE3D27D4EB4F)
 
@@ -163,10 +164,19 @@ def shared_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder: later reads survive lost executors."""
+#: Rows that a partition of a table kept by `cut` should have at least.
+ROWS = 10_000
+
+
+def cut(df: DataFrame, rows: int = ROWS) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder: later reads survive lost executors.
+
+    Small tables are read in fewer partitions, of about `rows` rows at least, as each further shuffle writes files for each of them. Checkpoint
+    files go with the last reference to them where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    kept = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return kept.coalesce(max(1, -(-seen.get["n"] // rows)))
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -174,13 +184,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(row_key().alias("k"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
 
 
-def unpacked(df: DataFrame, text: Column | None = None) -> DataFrame:
-    """The columns of the documents again, with another text and its n_chars if given."""
+def unpacked(df: DataFrame, text: Column | None = None, also: Sequence[Column] = ()) -> DataFrame:
+    """The columns of the documents again, with another text and its n_chars if given, and further columns."""
     names = [f.name for f in df.schema["row"].dataType.fields]
     new = F.col("text") if text is None else text
     columns = [F.col("row").getField(c).alias(c) if c != "n_chars" or text is None else F.length(new).cast("long").alias(c) for c in names]
     at = names.index("lang") if "lang" in names else len(names)
-    return df.select(*columns[:at], new.alias("text"), *columns[at:])
+    return df.select(*columns[:at], new.alias("text"), *columns[at:], *also)
 
 
 def adding(df: DataFrame, ddl: str) -> T.StructType:
