@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import row_key
+from ._text import packed, row_key, unpacked
 
 BIN = 4096
 
@@ -80,8 +80,11 @@ def repetitions(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), epochs_
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of docs as often as it is repeated, with `epoch` 1, 2, ... Rows equal in doc_id and text
-    count together: their repetitions are added up and given to one of them."""
-    often = repetitions(docs, **options).groupBy("k").agg(F.sum("repeats").cast("int").alias("repeats")).where("repeats > 0").withColumnRenamed("k", "_k")
-    rows = docs.withColumn("_k", row_key()).join(often, "_k").dropDuplicates(["_k"])
-    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), "repeats"))).drop("_k", "repeats")
+    """The mixed corpus: each row of docs as often as it is repeated, with `epoch` 1, 2, ... (`epoch_`, `epoch__`, ... where docs has such a column).
+    Rows equal in doc_id and text count together: their repetitions are added up and given to one of them."""
+    often = repetitions(docs, **options).groupBy("k").agg(F.sum("repeats").cast("int").alias("repeats")).where("repeats > 0")
+    epoch, lower = "epoch", {c.lower() for c in docs.columns}
+    while epoch in lower:
+        epoch += "_"
+    rows = packed(docs).join(often, "k").dropDuplicates(["k"]).withColumn("epoch", F.explode(F.sequence(F.lit(1), "repeats")))
+    return unpacked(rows, also=[F.col("epoch").alias(epoch)])
