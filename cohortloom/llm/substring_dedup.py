@@ -10,14 +10,18 @@ removed. The reference is the corpus itself, cut into indexed blocks:
 2. Anchors that occur once are dropped on counts alone. Segments of equal content are counted, not gathered: if two or
    more are equal, all their windows are duplicates. One of each kind stays as reference.
 3. What is left - segments that share their anchor but differ - is parsed: a block's segments are indexed by a suffix
-   array, each is factored greedily (longest match anywhere else in the block), factors of `window` words or more become
-   spans, and windows across factor boundaries are looked up in the index.
-4. An anchor with more than HOT kinds of segments doesn't fit one block. Its windows are hashed and counted by the
-   shuffle instead, which is exact as well and spreads over all tasks.
+   array and each is factored greedily: the longest match anywhere else in the block is looked up where a factor starts, and nowhere else. Factors of `window`
+   words or more become spans. A window that isn't inside a factor can only repeat if the factor that starts at the first boundary
+   in it reaches its end, as that factor is at least as long as the rest of the window's own match: only such windows are looked up too.
+4. An anchor with more than HOT kinds of segments doesn't fit one block. Its segments are cut by where the anchor lies in a window, into halves, quarters and so
+   on: all windows of a piece share more words than the anchor, which are its new key, so equal windows meet again, in smaller blocks. At the last
+   cut a piece is one window and the key the whole of it, so that no key has several kinds.
+
+Counts of an anchor are made by partial aggregation. Where its rows must meet its count, those of anchors above HEAVY are salted.
 
 Texts: null counts as empty; documents of fewer words than the window keep all. Rows that repeat a doc_id are documents
-of their own (equal rows remove each other's windows, as any copies do). An empty table gives an empty result. Columns
-besides doc_id and text aren't read. Hashes have 64 bits; a segment's are compared under an equal 64-bit anchor only.
+of their own (equal rows remove each other's windows, as any copies do). Very long texts are read whole. An empty table gives an empty result. Other columns
+are carried in the struct `row`, so that none can clash. Hashes have 64 bits; a segment's are compared under an equal 64-bit anchor only.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from ._text import Words, adding, cut, mix, ngram_hashes, packed, row_key, seque
 GRAM = 6
 #: Distinct segments of one anchor that a block takes; segments of a block before it is closed.
 HOT, BLOCK = 2000, 12000
+#: Rows of an anchor from which they are salted: this many, or a ten-thousandth of the documents, which bounds how many such anchors there are; and the salts.
+HEAVY, SALTS = 20_000, 64
 _AT = np.uint64((1 << 28) - 1)
 
 
@@ -121,17 +127,17 @@ class Index:
         while size < max(int((self.ends - self.starts).max(initial=1)), window):
             self.levels.append(self._pair(self.levels[-1], size))
             size *= 2
-        order = np.argsort(self.levels[-1], kind="stable")
-        same = self._common(order[:-1], order[1:])
-        longest = np.zeros(len(ranks), np.int64)
-        longest[order[:-1]] = same
-        np.maximum.at(longest, order[1:], same)
-        #: Length of the longest match that starts here, anywhere else.
-        self.longest = longest
-        level = int(np.log2(window))
-        whole = self.levels[level]
-        windows = _ranks(whole * (len(whole) + 1) + self._shift(whole, window - (1 << level)))
-        self.repeated = np.bincount(windows)[windows] > 1
+        self.order = np.argsort(self.levels[-1], kind="stable")
+        self.rank = np.empty(len(ranks), np.int64)
+        self.rank[self.order] = np.arange(len(ranks))
+
+    def match(self, at: np.ndarray) -> np.ndarray:
+        """Length of the longest match of each of these suffixes, anywhere else: with a neighbour in the suffix array."""
+        rank, longest = self.rank[at], np.zeros(len(at), np.int64)
+        for step in (-1, 1):
+            some = np.flatnonzero((rank + step >= 0) & (rank + step < len(self.order)))
+            longest[some] = np.maximum(longest[some], self._common(at[some], self.order[rank[some] + step]))
+        return longest
 
     def _shift(self, ranks: np.ndarray, by: int) -> np.ndarray:
         out = np.zeros(len(ranks), np.int64)
@@ -156,24 +162,29 @@ class Index:
 def parse(values: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
     """For each position of the segments values[offsets[i]:offsets[i+1]], whether a duplicate window starts there."""
     index = Index(values, offsets, window)
-    n = len(index.longest)
-    duplicate, sure = np.zeros(n + 1, np.int64), np.zeros(n, bool)
-    at, end = index.starts.copy(), index.ends
+    n = len(index.rank)
+    edge = np.zeros(n + 1, np.int64)
+    at, end, before = index.starts.copy(), index.ends, index.starts - 1
+    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(at):  # one factor of every segment at a time
-        step = np.maximum(1, index.longest[at])
+        step = np.maximum(1, index.match(at))
         long = step >= window
-        np.add.at(duplicate, at[long], 1)
-        np.add.at(duplicate, at[long] + step[long] - window + 1, -1)
-        at = at + step
+        np.add.at(edge, at[long], 1)
+        np.add.at(edge, at[long] + step[long] - window + 1, -1)
+        # Windows that start in the factor before, aren't inside it, and end in this one.
+        low.append(np.maximum(before + 1, at - window + 1))
+        high.append(np.minimum(at - 1, at + step - window))
+        before, at = at, at + step
         going = at < end
-        at, end = at[going], end[going]
-    sure = np.cumsum(duplicate[:-1]) > 0
-    fits = np.repeat(index.ends, index.ends - index.starts + 1) - np.arange(n) >= window
-    across = fits & ~sure  # these windows lie across the boundary of two factors
-    sure[across] = index.repeated[across]
+        before, at, end = before[going], at[going], end[going]
+    duplicate = np.cumsum(edge[:-1]) > 0
+    low, high = np.concatenate(low), np.concatenate(high)
+    size = np.maximum(0, high - low + 1)
+    across = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - low, size)
+    duplicate[across[index.match(across) >= window]] = True
     keep = np.ones(n, bool)
     keep[index.ends] = False
-    return sure[keep]
+    return duplicate[keep]
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,47 +223,85 @@ def _parse_blocks(window: int):
     return run
 
 
-def _windows(window: int):
+def _pieces(window: int, width: int):
+    """Cuts segments (a: their anchor, words) by where the anchor lies in a window, `width` places together: key, content hash, and where the piece lies.
+
+    The anchor is the first run with the hash a among those that all windows of the segment hold."""
+    gram = min(GRAM, window)
+    places = window - gram + 1
+
     def run(batches):
         for batch in batches:
-            parts = batch.column("words")
+            parts, a = batch.column("words"), np.asarray(batch.column("a")).view(np.uint64)
             at = np.asarray(parts.offsets).astype(np.int64)
-            values = np.asarray(parts.flatten()).view(np.uint64)
-            count = np.diff(at) - window + 1
-            seg = np.repeat(np.arange(len(count)), count)
-            inside = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-            low = (at[:-1] - at[0])[seg] + inside
-            start = np.asarray(batch.column("start"))[seg] + inside
-            yield pa.RecordBatch.from_arrays([pa.array(signed(mix(sequence_hashes(values, low, low + window)))), batch.column("k").take(pa.array(seg)), pa.array(start.astype(np.int32))], ["w", "k", "low"])
+            at, values = at - at[0], np.asarray(parts.flatten()).view(np.uint64)
+            n = np.diff(at) - window + 1
+            grams = ngram_hashes(values, gram)
+            seg = np.repeat(np.arange(len(n)), np.diff(at))[: len(grams)]
+            inside = np.arange(len(grams)) - at[:-1][seg]
+            there = np.flatnonzero((grams == a[seg]) & (inside >= n[seg] - 1) & (inside < places))
+            own, first = np.unique(seg[there], return_index=True)
+            anchor = np.zeros(len(n), np.int64)
+            anchor[own] = inside[there[first]]
+            out = []
+            for least in range(0, places, width):
+                most = min(least + width, places) - 1
+                # A window that starts at word j of the segment has the anchor at place anchor - j.
+                low, high = np.maximum(0, anchor - most), np.minimum(n - 1, anchor - least)
+                some = np.flatnonzero(low <= high)
+                low, high = low[some], high[some]
+                base = at[:-1][some]
+                shared = sequence_hashes(values, base + anchor[some] - least, base + anchor[some] - most + window)
+                key = mix(shared ^ mix(a[some] + np.uint64(width * 64 + least)))
+                out.append((key, sequence_hashes(values, base + low, base + high + window), some, low, high - low + 1))
+            key, content, some, low, count = (np.concatenate(x) for x in zip(*out, strict=True))
+            rows = batch.take(pa.array(some))
+            start = np.asarray(rows.column("start")) + low
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(content)), rows.column("k"), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), rows.column("a")], ["a", "h", "k", "start", "n", "anchor"])
 
     return run
 
 
+def with_counts(rows: DataFrame, counts: DataFrame, heavy: int) -> DataFrame:
+    """rows with the columns of counts (a, c, ...), inner; rows of anchors with c above `heavy` are salted."""
+    few = counts.where(F.col("c") > heavy).select("a", F.lit(True).alias("_heavy"))
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64("k", "start"), F.lit(SALTS))).otherwise(0).cast("int")
+    salted = rows.join(F.broadcast(few), "a", "left").withColumn("_salt", salt).drop("_heavy")
+    each = F.when(F.col("c") > heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(counts.withColumn("_salt", F.explode(each)), ["a", "_salt"]).drop("_salt")
+
+
 def duplicate_spans(docs: DataFrame, window: int = 35, hot: int | None = None) -> DataFrame:
     """(k, low, high): word ranges of document k (see row_key) that duplicate windows cover; they may overlap."""
-    hot = HOT if hot is None else hot
-    segs = docs.select(row_key().alias("k"), "text").mapInArrow(_find_segments(window), "a long, h long, k long, start int, n int")
-    shared = segs.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    # One row for each segment whose anchor repeats: a part of the corpus, used by all that follows.
-    repeated = cut(segs.join(shared, "a", "left_semi"))
-    kinds = cut(repeated.groupBy("a", "h").agg(F.count("*").alias("copies"), F.min(F.struct("k", "start", "n")).alias("one")))
-    whole = repeated.join(kinds.where("copies > 1").select("a", "h"), ["a", "h"], "left_semi").select("k", F.col("start").alias("low"), (F.col("start") + F.col("n") + (window - 1)).alias("high"))
-    # A kind that occurs once in a mixed group is a candidate; the others of its group are its reference.
-    mixed = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a", (F.col("kinds") > hot).alias("hot"))
-    parts = kinds.select("a", "one.*").join(mixed, "a")
+    hot, heavy = HOT if hot is None else hot, max(HEAVY, docs.count() // 10_000)
+    keyed = packed(docs)
 
     def contents(of: DataFrame) -> DataFrame:
         listed = of.groupBy("k").agg(F.collect_list(F.struct("a", "start", "n")).alias("parts"))
         # The texts are shuffled by k as remove_duplicates shuffles them, so that Spark does it once.
-        return packed(docs).join(listed, "k").mapInArrow(_cut_out(window), "a long, k long, start int, words array<long>")
-
-    blocks = contents(parts.where("not hot"))
-    spans = blocks.repartition("a").sortWithinPartitions("a").mapInArrow(_parse_blocks(window), "k long, low int, high int").unionByName(whole)
-    if mixed.where("hot").limit(1).count():
-        windows = contents(parts.where("hot")).mapInArrow(_windows(window), "w long, k long, low int").distinct()
-        again = windows.groupBy("w").count().where("count > 1").select("w")
-        spans = spans.unionByName(windows.join(again, "w", "left_semi").select("k", "low", (F.col("low") + window).alias("high")))
-    return spans
+        return keyed.join(listed, "k").mapInArrow(_cut_out(window), "a long, k long, start int, words array<long>")
+
+    segs = docs.select(row_key().alias("k"), "text").mapInArrow(_find_segments(window), "a long, h long, k long, start int, n int")
+    segs = segs.withColumn("anchor", F.col("a"))
+    spans, width = None, window - min(GRAM, window) + 1
+    while True:
+        shared = segs.groupBy("a").agg(F.count("*").alias("c")).where("c > 1")
+        # One row for each segment whose anchor repeats: a part of the corpus, used by all that follows.
+        repeated = cut(with_counts(segs, shared, heavy).drop("c"))
+        kinds = cut(repeated.groupBy("a", "h").agg(F.count("*").alias("copies"), F.min(F.struct("k", "start", "n", "anchor")).alias("one")))
+        equal = repeated.join(kinds.where("copies > 1").select("a", "h"), ["a", "h"], "left_semi")
+        found = equal.select("k", F.col("start").alias("low"), (F.col("start") + F.col("n") + (window - 1)).alias("high"))
+        # A kind that occurs once in a mixed group is a candidate; the others of its group are its reference.
+        mixed = kinds.groupBy("a").agg(F.count("*").alias("c")).where("c > 1")
+        parts = with_counts(kinds.select("a", "one.*"), mixed, heavy)
+        blocks = contents(parts.where(F.col("c") <= hot)).repartition("a").sortWithinPartitions("a")
+        found = found.unionByName(blocks.mapInArrow(_parse_blocks(window), "k long, low int, high int"))
+        spans = found if spans is None else spans.unionByName(found)
+        if width == 1 or mixed.where(F.col("c") > hot).isEmpty():
+            return spans
+        width = -(-width // 2)
+        wide = contents(parts.where(F.col("c") > hot).select("k", F.col("anchor").alias("a"), "start", "n"))
+        segs = wide.mapInArrow(_pieces(window, width), "a long, h long, k long, start int, n int, anchor long")
 
 
 def _kept(batches):
