@@ -3,25 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def sample_labels(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> DataFrame:
     """text and y of at most `most` documents of each value of the label, by a hash of doc_id, among labels that `train` allows.
 
-    Labels that are null don't count. `train` is a condition on doc_id. The keys are bounded by 2 * most, so their join broadcasts.
+    Labels that are null don't count; of rows that repeat a doc_id the first text is taken. `train` is a condition on doc_id. The keys are bounded by 2 * most,
+    so their join broadcasts, and each task keeps the first `most` of its own rows only.
     """
-    known = labels.where(train & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")).distinct()
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = known.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).select("doc_id", "y")
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y")
-
-
-def sample_texts(docs: DataFrame, most: int) -> DataFrame:
-    """text of at most about `most` documents, by a hash of doc_id."""
-    few = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text")
+    known = labels.where(train).select("doc_id", F.col(label).alias("y")).distinct()
+    few = [known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in (0, 1)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -1,14 +1,16 @@
 """Toxicity: a bidirectional GRU with attention pooling over character and word inputs, trained and run in numpy.
 
 Words `[^\\x20\\x09-\\x0D]+` are lower-cased (A-Z). A word's input is its vector by a hash to 2**15 places beside the mean of the vectors of its byte 4-grams
-(hashed to 2**15 places; the word is framed). A place of fewer than LEAST labelled documents isn't learned from: it counts as place 0. All windows of WINDOW words, one every STEP words, are scored: gated recurrences in both
+(hashed to 2**15 places; the word is framed). A place of no labelled document counts as place 0; log-odds of rare ones are shrunk. All windows of WINDOW words, one every STEP words, are scored: gated recurrences in both
 directions, attention over the words of the window, one logit. A document's score is that of its largest window.
 
 Labels say which documents are toxic, not where, so learning is multi-instance: the vectors start with the log-odds of words and 4-grams among
 labelled documents, a toxic document stands for its window of largest evidence - later, of largest logit -, clean documents for their largest
 and for random windows, and all weights and vectors are trained by backpropagation. At most SAMPLE documents of each label are learned from.
 
-Null or empty texts have one empty window. Without labels of both kinds every score is 0.5. Rows that repeat a doc_id are scored one by one.
+Null or empty texts have one empty window. Without labels of both kinds every score is 0.5. Rows that repeat are scored one by one, equal texts alike; of rows
+that repeat a doc_id one text is learned from. Very long texts have all their windows scored, in slices. Ties between windows change nothing. An empty table gives an
+empty result. Other columns stay in the struct `row`, so that none can clash.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from ._text import LOWER, Words, adding, mix, packed, slices, word_hashes
 from .labelled import Adam, sample_labels, sigmoid
 
 SAMPLE, WINDOW, STEP = 1500, 16, 8
-WORDS, GRAMS, LEAST = 1 << 15, 1 << 15, 4
+WORDS, GRAMS = 1 << 15, 1 << 15
 WIDTH, UNITS, ROUNDS, EPOCHS = 4, 8, 2, 4
 
 
@@ -168,7 +170,7 @@ def _log_odds(tokens: Tokens, y: np.ndarray, places: np.ndarray, owner: np.ndarr
     doc, place = np.divmod(np.unique(np.repeat(doc, count) * size + places[order][flat]), size)
     one, zero = (np.bincount(place[y[doc] == v], minlength=size) for v in (1, 0))
     odds = np.log((one + 0.2) / (max(1, (y == 1).sum()) + 1)) - np.log((zero + 0.2) / (max(1, (y == 0).sum()) + 1))
-    known = one + zero >= LEAST
+    known = one + zero > 0
     known[0] = False
     return np.where(known, odds * (one + zero) / (one + zero + 5.0), 0).astype(np.float32), known
 
