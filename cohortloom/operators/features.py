@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import above
+from . import ranges
 
 
 def last_mapping(mapping: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -35,7 +38,37 @@ def occurrence_name(node: Column, occurrence: Column) -> Column:
 
 def above_median(df: DataFrame, value: str, name: str) -> DataFrame:
     """1 where value is strictly above the median of the table, else 0, also for NULL."""
-    return df.crossJoin(df.agg(F.median(value).alias("_m"))).withColumn(name, above(F.col(value), F.col("_m"))).drop("_m")
+    middle = ranges.quantiles(df, [], value, [0.5]).select(F.col("q")[0].alias("_m"))
+    return df.join(F.broadcast(middle), how="left").withColumn(name, above(F.col(value), F.col("_m"))).drop("_m")
+
+
+def binarised(df: DataFrame, target: str) -> DataFrame:
+    """Rows with a target, which becomes 0 or 1: above its median where it has more than two values."""
+    rows = df.where(F.col(target).isNotNull())
+    if rows.select(target).distinct().limit(3).count() <= 2:
+        return rows.withColumn(target, F.col(target).cast("int"))
+    return above_median(rows, target, "_flag").drop(target).withColumnRenamed("_flag", target)
+
+
+def cohort(df: DataFrame, column: str, value: str) -> DataFrame:
+    """Rows whose column has the value; all rows, with a warning, where there is no such column; an error where no row is left."""
+    if column not in df.columns:
+        warnings.warn(f"no column {column}: rows aren't filtered", stacklevel=2)
+        return df
+    rows = df.where(F.col(column) == value)
+    if rows.isEmpty():
+        raise ValueError(f"no rows with {column} = {value}")
+    return rows
+
+
+def deepest(events: DataFrame, case: str, node: str) -> DataFrame:
+    """(node, depth): the largest number of times that a node occurs in one case."""
+    return events.groupBy(case, node).agg(F.count("*").alias("n")).groupBy(node).agg(F.max("n").alias("depth"))
+
+
+def spread_of_means(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Standard deviation over groups of their mean."""
+    return df.groupBy(group).agg(F.avg(value).alias("m")).agg(F.stddev_samp("m").alias("spread"))
 
 
 def readmission(stays: DataFrame, patient: str, admitted: str, discharged: str, key: str, days: int = 30) -> DataFrame:
@@ -46,10 +79,12 @@ def readmission(stays: DataFrame, patient: str, admitted: str, discharged: str,
 
 
 def describe_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: n, missing, mean, standard deviation, median and quartiles, in one pass."""
+    """A row for each column: n, missing, mean, standard deviation, and exact median and quartiles."""
     values = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns))).alias("v")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.select(values).select("v.*").groupBy("variable").agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), q.alias("q")).select("variable", "n", "missing", "mean", "sd", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
+    long = df.select(values).select("v.*")
+    plain = long.groupBy("variable").agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    q = ranges.quantiles(long, ["variable"], "x", [0.25, 0.5, 0.75])
+    return plain.join(q, "variable", "left").select("variable", "n", "missing", "mean", "sd", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
 
 
 def describe_values(df: DataFrame, columns: list[str]) -> DataFrame:

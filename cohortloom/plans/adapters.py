@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ranges
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,7 +47,7 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with an outcome y (a price above the median) and columns whose gaps depend on the price or on a hash."""
     l = table(spark, sf_dir, "lineitem")
-    edges = l.agg(F.percentile("l_extendedprice", F.array(F.lit(0.5), F.lit(0.85))).alias("e"))
+    edges = ranges.quantiles(l, [], "l_extendedprice", [0.5, 0.85]).select(F.col("q").alias("e"))
     x = l.crossJoin(F.broadcast(edges)).withColumn("k", F.md5(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))))
     price, dear = F.col("l_extendedprice"), F.col("l_extendedprice") > F.col("e")[1]
     keep = F.substring("k", 1, 2) >= "26"

@@ -296,18 +296,25 @@ def missing_ig(spark, d):
     return missingness.missing_ig(A.gaps(spark, d), A.GAPS).select("variable", *_r("ig"))
 
 
-_COMBOS = "combo AS (SELECT y, a || ',' || b AS combo, (xa IS NULL)::INT || '' || (xb IS NULL)::INT AS st FROM (SELECT y, unnest(['a_qty', 'c_qty', 'a_qty']) AS a, unnest(['b_tax', 'd_disc', 'c_qty']) AS b, unnest([a_qty, c_qty, a_qty]) AS xa, unnest([b_tax, d_disc, c_qty]) AS xb FROM gaps))"
+_COMBOS = """pick AS (SELECT y, [a_qty, b_tax, c_qty, d_disc, e_price, f_price] AS v, ['a_qty', 'b_tax', 'c_qty', 'd_disc', 'e_price', 'f_price'] AS nm FROM gaps),
+combo AS (SELECT y, array_to_string(list_transform(c, lambda i: nm[i]), ',') AS combo, array_to_string(list_transform(c, lambda i: (v[i] IS NULL)::INT), '') AS st FROM pick CROSS JOIN
+(SELECT [a.i, b.i] AS c FROM range(1, 7) AS a(i) JOIN range(1, 7) AS b(i) ON a.i < b.i UNION ALL SELECT [a.i, b.i, c.i] FROM range(1, 7) AS a(i) JOIN range(1, 7) AS b(i) ON a.i < b.i JOIN range(1, 7) AS c(i) ON b.i < c.i))"""
 
 
 @query(f"WITH {A.GAPPED}, {_COMBOS}, {_gain_sql('combo', 'combo', 'st')} SELECT combo, round(ig, 6) AS ig FROM ig")
 def joint_ig(spark, d):
-    return missingness.joint_ig(A.gaps(spark, d), A.GAPS, 2).where(F.col("combo").isin("a_qty,b_tax", "c_qty,d_disc", "a_qty,c_qty")).select("combo", *_r("ig"))
+    """All pairs and triples of the columns."""
+    return missingness.joint_ig(A.gaps(spark, d), A.GAPS, 3).where("size > 1").select("combo", *_r("ig"))
 
 
-@query(f"WITH {A.GAPPED}, {_COMBOS}, {_gain_sql('combo', 'combo', 'st')}, {_gain_sql('variable', 'long', 'x IS NULL').replace('g AS', 'g1 AS', 1).replace('FROM g)', 'FROM g1)').replace('w AS', 'w1 AS', 1).replace('FROM w ', 'FROM w1 ').replace('ig AS', 'one AS', 1)} SELECT combo, round(ig.ig, 6) AS joint, round(ig.ig - a.ig - b.ig, 6) + 0.0 AS ii FROM ig JOIN one AS a ON a.variable = split_part(combo, ',', 1) JOIN one AS b ON b.variable = split_part(combo, ',', 2)")
+_ONE = _gain_sql("variable", "long", "x IS NULL").replace("g AS", "g1 AS", 1).replace("FROM g)", "FROM g1)").replace("w AS", "w1 AS", 1).replace("FROM w ", "FROM w1 ").replace("ig AS", "one AS", 1)
+_II = f"{_COMBOS}, {_gain_sql('combo', 'combo', 'st')}, {_ONE}, ii AS (SELECT combo, max(ig.ig) AS joint, max(ig.ig) - sum(one.ig) AS ii FROM ig JOIN one ON list_contains(string_split(combo, ','), one.variable) GROUP BY combo)"
+
+
+@query(f"WITH {A.GAPPED}, {_II} SELECT combo, round(joint, 6) AS joint, round(ii, 6) + 0.0 AS ii FROM ii")
 def interaction_info(spark, d):
-    x = missingness.interaction(A.gaps(spark, d), A.GAPS, 2).where(F.col("combo").isin("a_qty,b_tax", "c_qty,d_disc", "a_qty,c_qty"))
-    return x.select("combo", *_r("joint", "ii"))
+    x = missingness.interaction(A.gaps(spark, d), A.GAPS, 3)
+    return x.select("combo", F.round("joint", 6).alias("joint"), (F.round("ii", 6) + F.lit(0.0)).alias("ii"))
 
 
 _BINS = "e AS (SELECT variable, min(x) AS e0, quantile_cont(x, 1/3::DOUBLE) AS e1, quantile_cont(x, 2/3::DOUBLE) AS e2, max(x) AS e3 FROM long WHERE x IS NOT NULL GROUP BY variable), t AS (SELECT variable, y, x, CASE WHEN e0 < e1 AND e1 < e2 AND e2 < e3 THEN CASE WHEN x <= e1 THEN 0 WHEN x <= e2 THEN 1 ELSE 2 END END AS bin FROM long JOIN e USING (variable) WHERE x IS NOT NULL)"
@@ -318,14 +325,30 @@ def baseline_ig(spark, d):
     return missingness.baseline_ig(A.gaps(spark, d), A.GAPS).select("variable", *_r("ig"))
 
 
-@query(f"WITH {A.GAPPED}, {_BINS}, p AS (SELECT variable, avg(y) FILTER (bin = 0) AS p_low, avg(y) FILTER (bin = 1) AS p_mid, avg(y) FILTER (bin = 2) AS p_high FROM t GROUP BY variable), m AS (SELECT variable, avg(y) FILTER (x IS NULL) AS p_missing FROM long GROUP BY variable) SELECT variable, round(p_missing, 6) AS p_missing, round(p_low, 6) AS p_low, round(p_mid, 6) AS p_mid, round(p_high, 6) AS p_high FROM m LEFT JOIN p USING (variable)")
+_ZONES = f"""{_BINS}, p AS (SELECT variable, avg(y) FILTER (bin = 0) AS p_low, avg(y) FILTER (bin = 1) AS p_mid, avg(y) FILTER (bin = 2) AS p_high FROM t GROUP BY variable),
+m AS (SELECT variable, avg(y) FILTER (x IS NULL) AS p_missing, count(x) = 0 AS none FROM long GROUP BY variable),
+zones AS (SELECT variable, p_missing, p_low, p_mid, p_high, CASE WHEN p_missing IS NULL THEN 'No Missing Data' WHEN none THEN '100% Missing' WHEN p_low IS NULL OR p_mid IS NULL OR p_high IS NULL THEN 'Unmappable'
+WHEN NOT ((p_low <= p_mid AND p_mid <= p_high) OR (p_low >= p_mid AND p_mid >= p_high)) THEN 'Non-Monotonic' WHEN p_missing > greatest(p_low, p_high) THEN 'Extrapolated (Extreme Risk)'
+WHEN p_missing < least(p_low, p_high) THEN 'Extrapolated (Benign)' ELSE 'Interpolated (Proxy)' END AS zone FROM m LEFT JOIN p USING (variable))"""
+
+
+@query(f"WITH {A.GAPPED}, {_ZONES} SELECT variable, round(p_missing, 6) AS p_missing, round(p_low, 6) AS p_low, round(p_mid, 6) AS p_mid, round(p_high, 6) AS p_high, zone FROM zones")
 def risk_zones(spark, d):
-    return missingness.risk_zones(A.gaps(spark, d), A.GAPS).select("variable", *_r("p_missing", "p_low", "p_mid", "p_high"))
+    return missingness.risk_zones(A.gaps(spark, d), A.GAPS).select("variable", *_r("p_missing", "p_low", "p_mid", "p_high"), "zone")
 
 
-@query()
+_BASE = _gain_sql("variable", "t", "coalesce(bin::VARCHAR, x::VARCHAR)").replace("g AS", "g2 AS", 1).replace("FROM g)", "FROM g2)").replace("w AS", "w2 AS", 1).replace("FROM w ", "FROM w2 ").replace("ig AS", "bas AS", 1)
+
+
+@query(f"""WITH {A.GAPPED}, {_II}, {_ZONES}, {_BASE}, red AS (SELECT combo, string_split(combo, ',') AS c, ii FROM ii WHERE ii < -0.01), each AS (SELECT unnest(c) AS variable, c, len(c) AS size FROM red),
+first AS (SELECT variable, arg_min(c, (len(c), array_to_string(c, ','))) AS c FROM each GROUP BY variable),
+k AS (SELECT one.variable, one.ig AS missing_ig, coalesce(bas.ig, 0) AS baseline_ig, zone, c FROM one LEFT JOIN bas USING (variable) JOIN zones USING (variable) LEFT JOIN first USING (variable))
+SELECT variable, CASE WHEN missing_ig > 0.01 AND baseline_ig <= 0.01 AND c IS NOT NULL THEN CASE len(c) WHEN 2 THEN 'Order 2 (Pair)' ELSE 'Order 3 (Triplet)' END ELSE 'Single Variable' END AS detection_level,
+CASE WHEN missing_ig > 0.01 AND baseline_ig <= 0.01 AND c IS NOT NULL THEN array_to_string(list_filter(c, lambda x: x <> variable), ' & ') ELSE 'N/A' END AS linked_to, round(baseline_ig, 4) AS baseline_ig, round(missing_ig, 4) AS missing_ig,
+CASE WHEN missing_ig > 0.01 AND baseline_ig > 0.01 THEN 'Predictive Missingness (Informative)' WHEN missing_ig > 0.01 AND c IS NOT NULL THEN 'Structural Block (Redundant)' WHEN missing_ig > 0.01 THEN 'Isolated Predictive Missingness'
+WHEN baseline_ig > 0.01 THEN 'Non-Informative Missingness' ELSE 'Pure Noise' END AS classification, CASE WHEN missing_ig > 0.01 AND baseline_ig > 0.01 THEN zone ELSE 'N/A' END AS zone FROM k""")
 def missing_report(spark, d):
-    return missingness.report(A.gaps(spark, d), A.GAPS).select("variable", F.bround("missing_ig", 4).alias("missing_ig"), F.bround("baseline_ig", 4).alias("baseline_ig"), "linked", "zone", "kind")
+    return missingness.report(A.gaps(spark, d), A.GAPS).withColumns({c: F.bround(c, 4) for c in ("baseline_ig", "missing_ig")})
 
 
 @query(f"WITH {A.GAPPED}, m AS (SELECT avg(c_qty) AS m FROM gaps WHERE l_orderkey % 10 < 7) SELECT l_orderkey, l_linenumber, round(coalesce(c_qty, m), 6) AS c_qty, CAST(c_qty IS NULL AS INTEGER) AS c_qty_missing FROM gaps CROSS JOIN m")
