@@ -18,7 +18,7 @@ class Config:
     chi2_critical: float = 3.841458820694124
     permutations: int = 1000
     fdr: float = 0.05
-    lift_weight: float = 2.0
     readmission_days: int = 30
     signal: float = 0.01
     redundancy: float = -0.01
+    interaction_order: int = 3

@@ -10,19 +10,22 @@ from __future__ import annotations
 import os
 import tempfile
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions.scalars import chi2, outcome_lift
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Names a checkpoint folder where the session names none, as in tests."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp")))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder; one of its own is made where the session names none."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp")))
+    """df, computed once and kept in the checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -53,10 +56,10 @@ def triple_counts(nodes: DataFrame) -> DataFrame:
 def with_margins(pairs: DataFrame, nodes: DataFrame, cases: DataFrame) -> DataFrame:
     """Pair counts with the support of both nodes and the totals."""
     s = support(nodes)
-    return pairs.join(F.broadcast(s.select(F.col("node").alias("a"), F.col("n").alias("n_a"))), "a").join(F.broadcast(s.select(F.col("node").alias("b"), F.col("n").alias("n_b"))), "b").crossJoin(F.broadcast(totals(cases)))
+    return pairs.join(s.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(s.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b").crossJoin(F.broadcast(totals(cases)))
 
 
-def jaccard(pairs: DataFrame, least: int, threshold: float) -> DataFrame:
+def jaccard(pairs: DataFrame, least: int = Config.min_cooccurrence, threshold: float = Config.jaccard) -> DataFrame:
     """Pairs (with margins) of at least that many joint cases and Jaccard similarity."""
     j = F.col("n_ab") / (F.col("n_a") + F.col("n_b") - F.col("n_ab"))
     return pairs.where(F.col("n_ab") >= least).withColumn("jaccard", j).where(F.col("jaccard") >= threshold)
@@ -127,7 +130,7 @@ def extend(triples: DataFrame, pairs: DataFrame, nodes: DataFrame, cases: DataFr
     """Sequences s1, s2 -> s3 above the support floor whose third node is directed and lifted: P(s3|s1 s2) - P(s1 s2|s3) and the Markov lift."""
     x = permuted(triples.where(F.col("n_abc") >= floor), ["a", "b", "c"])
     n_pair = pairs.select("a", "b", "n_ab")
-    x = x.withColumn("a", F.least("s1", "s2")).withColumn("b", F.greatest("s1", "s2")).join(F.broadcast(n_pair), ["a", "b"])
+    x = x.withColumn("a", F.least("s1", "s2")).withColumn("b", F.greatest("s1", "s2")).join(n_pair, ["a", "b"])
     x = x.join(F.broadcast(support(nodes).select(F.col("node").alias("s3"), F.col("n").alias("n_3"))), "s3").crossJoin(F.broadcast(totals(cases)))
     p, p3 = F.col("n_abc") / F.col("n_ab"), F.col("n_3") / F.col("total")
     lift = outcome_lift(F.col("pos_abc"), F.col("n_abc"), F.col("positives") / F.col("total"))
@@ -143,8 +146,8 @@ def collider(triples: DataFrame, pairs: DataFrame, nodes: DataFrame, cases: Data
     """
     z = permuted(triples, ["a", "b", "c"])
     s = support(nodes)
-    n = lambda name: F.broadcast(s.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}")))
-    both = lambda p, q, name: F.broadcast(pairs.select(F.col("a").alias(p), F.col("b").alias(q), F.col("n_ab").alias(name)).unionByName(pairs.select(F.col("b").alias(p), F.col("a").alias(q), F.col("n_ab").alias(name))))
+    n = lambda name: s.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"))
+    both = lambda p, q, name: pairs.select(F.col("a").alias(p), F.col("b").alias(q), F.col("n_ab").alias(name)).unionByName(pairs.select(F.col("b").alias(p), F.col("a").alias(q), F.col("n_ab").alias(name)))
     z = z.join(n("s1"), "s1").join(n("s2"), "s2").join(n("s3"), "s3").join(both("s1", "s3", "n_13"), ["s1", "s3"]).join(both("s1", "s2", "n_12"), ["s1", "s2"]).join(both("s2", "s3", "n_23"), ["s2", "s3"]).crossJoin(F.broadcast(totals(cases).select("total")))
     whole = chi2(F.col("n_13"), F.col("n_s1"), F.col("n_s3"), F.col("total"))
     given = chi2(F.col("n_abc"), F.col("n_12"), F.col("n_23"), F.col("n_s2"))
@@ -166,26 +169,74 @@ def step_up(tests: DataFrame, p: str, order: list[str], alpha: float) -> DataFra
     return ranked.withColumn("kept", F.col("rank") <= F.coalesce(passing, F.lit(0))).drop("_m")
 
 
-def permutation_null(candidates: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Mean and 95 % quantile of the positives of each candidate (id, n, total, positives) under shuffled labels, and its empirical p.
-
-    A shuffle puts a hypergeometric number of positives into n cases: drawing that costs `draws` per candidate, whatever the number of cases.
-    """
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                rng = np.random.default_rng([seed, int(r.id)])
-                x = rng.hypergeometric(r.positives, r.total - r.positives, r.n, draws)
-                out.append((r.id, float(x.mean()), float(np.quantile(x, 0.95)), float((np.abs(x - r.n * r.positives / r.total) >= abs(r.pos - r.n * r.positives / r.total)).sum() + 1) / (draws + 1)))
-            yield pd.DataFrame(out, columns=["id", "null_mean", "null_q95", "p_value"])
-
-    return candidates.mapInPandas(run, "id long, null_mean double, null_q95 double, p_value double")
-
-
 def path_edges(paths: DataFrame, steps: list[str]) -> DataFrame:
     """The tree of paths (steps, value): an edge for each prefix, with its depth, paths and the sum of their values."""
     prefix = lambda i: F.array_join(F.array(*steps[:i]), " > ")
     each = F.array(*(F.struct(F.lit(i).alias("depth"), (prefix(i - 1) if i > 1 else F.lit("")).alias("parent"), F.col(c).alias("child"), prefix(i).alias("path")) for i, c in enumerate(steps, 1)))
     return paths.select(F.explode(each).alias("e"), "value").groupBy("e.depth", "e.parent", "e.child", "e.path").agg(F.count("*").alias("paths"), F.sum("value").cast("long").alias("value"))
+
+
+def score_absolute(pairs: DataFrame, least: int, asymmetry: float) -> DataFrame:
+    """Older form: (src, dst, n_ab, asymmetry) of pairs with margins whose probabilities differ by that much, towards the larger; b to a on ties."""
+    ba, ab = F.col("n_ab") / F.col("n_a"), F.col("n_ab") / F.col("n_b")
+    x = pairs.where(F.col("n_ab") >= least).withColumn("asymmetry", F.abs(ba - ab)).where(F.col("asymmetry") >= asymmetry)
+    return x.select(F.when(ba > ab, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(ba > ab, F.col("b")).otherwise(F.col("a")).alias("dst"), "n_ab", "asymmetry")
+
+
+def lift_over_last(directed: DataFrame, triples: DataFrame, pairs: DataFrame, least: int, lift: float) -> DataFrame:
+    """Older growth: directed pairs (src, dst, n_ab) and a third node: P(third | both) - P(third | dst), from that lift on. pairs have margins."""
+    x = permuted(triples.where(F.col("n_abc") >= least), ["a", "b", "c"])
+    x = x.join(directed.select(F.col("src").alias("s1"), F.col("dst").alias("s2"), "n_ab"), ["s1", "s2"])
+    both = pairs.select(F.col("a").alias("s2"), F.col("b").alias("s3"), F.col("n_ab").alias("n_23"), F.col("n_a").alias("n_2")).unionByName(pairs.select(F.col("b").alias("s2"), F.col("a").alias("s3"), F.col("n_ab").alias("n_23"), F.col("n_b").alias("n_2")))
+    return x.join(both, ["s2", "s3"]).withColumn("lift", F.col("n_abc") / F.col("n_ab") - F.col("n_23") / F.col("n_2")).where(F.col("lift") >= lift).select("s1", "s2", "s3", "n_abc", "lift")
+
+
+def ratio_collider(triples: DataFrame, pairs: DataFrame, low: float = 0.75, high: float = 1.33, least: float = 0.66, most: float = 1.5) -> DataFrame:
+    """Older gate: (s1, s2, s3, ratio, ratio_given) of ordered triples whose pairs all occur, rejected where s1 and s3 look independent (ratio from low to high) but not
+    given s2 (up to least, or from most on). A triple that never occurs has the ratio 0. pairs have margins."""
+    ends = pairs.select("a", "b", "n_ab")
+    closed = ends.toDF("a", "b", "n_xy").join(ends.toDF("a", "c", "n_xz"), "a").where("b < c").join(ends.toDF("b", "c", "n_yz"), ["b", "c"])
+    every = closed.join(triples.select("a", "b", "c", "n_abc"), ["a", "b", "c"], "left").na.fill(0, ["n_abc"])
+    x = permuted(every, ["a", "b", "c"]).select("s1", "s2", "s3", "n_abc")
+    side = lambda p, q, n: pairs.select(F.col("a").alias(p), F.col("b").alias(q), F.col("n_ab").alias(n), F.col("n_a").alias(f"{n}_{p}"), "total").unionByName(pairs.select(F.col("b").alias(p), F.col("a").alias(q), F.col("n_ab").alias(n), F.col("n_b").alias(f"{n}_{p}"), "total"))
+    x = x.join(side("s1", "s3", "n13"), ["s1", "s3"]).drop("total").join(side("s1", "s2", "n12").drop("n12_s1", "total"), ["s1", "s2"]).join(side("s2", "s3", "n23"), ["s2", "s3"]).join(side("s3", "s2", "n32").drop("n32", "total"), ["s3", "s2"])
+    ratio = F.col("n13") * F.col("total") / (F.col("n13_s1").cast("double") * F.col("n32_s3"))
+    given = F.col("n_abc") * F.col("n23_s2") / (F.col("n12").cast("double") * F.col("n23"))
+    x = x.select("s1", "s2", "s3", ratio.alias("ratio"), given.alias("ratio_given"))
+    return x.withColumn("rejected", F.col("ratio").between(low, high) & ((F.col("ratio_given") >= most) | (F.col("ratio_given") <= least)))
+
+
+def expected_targets(pairs: DataFrame, least: int = 5, expected: float = 0.5) -> DataFrame:
+    """Older absence: (node, n), NOT_ of nodes that are expected, as their probability given another node is that much. pairs have margins."""
+    ba, ab = F.col("n_ab") / F.col("n_a"), F.col("n_ab") / F.col("n_b")
+    x = pairs.where((F.col("n_ab") >= least) & (F.greatest(ba, ab) >= expected))
+    target = F.when(ba > ab, F.struct(F.col("b").alias("t"), F.col("n_b").alias("n"))).otherwise(F.struct(F.col("a").alias("t"), F.col("n_a").alias("n")))
+    return x.select(target.alias("t"), "total").select(F.concat(F.lit("NOT_"), "t.t").alias("node"), (F.col("total") - F.col("t.n")).alias("n")).distinct()
+
+
+def path_valid(nodes: Column, members: dict[str, tuple[str, str]], admission: str = "CCS_ADM_DX_") -> Column:
+    """Older gate on a whole path: no node twice, one admission at most, no bundle beside its member, nothing both there and absent."""
+    ok = (F.size(F.array_distinct(nodes)) == F.size(nodes)) & (F.size(F.filter(nodes, lambda n: n.startswith(admission))) <= 1)
+    for bundle_, pair in members.items():
+        ok = ok & ~(F.array_contains(nodes, bundle_) & F.arrays_overlap(nodes, F.array(*(F.lit(x) for x in pair))))
+    table = F.create_map(*(x for b, p in (members or {"": ("", "")}).items() for x in (F.lit(b), F.array(F.lit(p[0]), F.lit(p[1])))))
+    there = F.flatten(F.transform(F.filter(nodes, lambda n: ~n.startswith("NOT_")), lambda n: F.coalesce(F.try_element_at(table, n), F.array(n))))
+    absent = F.transform(F.filter(nodes, lambda n: n.startswith("NOT_")), lambda n: F.regexp_replace(n, "^NOT_", ""))
+    return ok & ~F.arrays_overlap(there, absent)
+
+
+def chronological(nodes: Column, outcome: str, admission: str = "CCS_ADM_DX_") -> Column:
+    """Older rules: an admission only first, the outcome only last."""
+    return F.forall(nodes, lambda n: ~n.startswith(admission) | (n == nodes[0])) & (F.size(F.filter(nodes, lambda n: n.startswith(admission))) <= 1) & ((F.array_position(nodes, outcome) == 0) | ((F.array_position(nodes, outcome) == F.size(nodes)) & (F.size(nodes) > 1)))
+
+
+def uncapped_lift(pos: Column, n: Column, base: Column) -> Column:
+    """Older lift without the cap at 1/base; base / .0001 for no positives, 1 for no cases."""
+    floor = F.greatest(base, F.lit(1e-4))
+    p = pos / n
+    return F.when(n == 0, F.lit(1.0)).when(pos == 0, floor / F.lit(1e-4)).otherwise(F.greatest(p / floor, floor / p))
+
+
+def bundles_in_order(pairs: DataFrame) -> DataFrame:
+    """Older bundling: pairs (a, b) chosen in column order instead of by similarity."""
+    return bundles(pairs.withColumn("jaccard", F.lit(0.0)))

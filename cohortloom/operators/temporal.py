@@ -22,16 +22,47 @@ def timeline_name(code: Column, occurrence: Column) -> Column:
 def timelines(placed: DataFrame, case: str, code: str) -> DataFrame:
     """A map of names to relative days for each case."""
     named = placed.select(case, timeline_name(F.col(code), F.col("occurrence")).alias("name"), "relative_day")
-    return named.groupBy(case).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "relative_day")))).alias("timeline"))
-
-
-def order_accuracy(lines: DataFrame, sequences: DataFrame) -> DataFrame:
-    """For each sequence (seq array<string>): timelines that have all its nodes, their mean expected order score, and the lift over 1/N!."""
-    days = F.transform("seq", lambda n: F.try_element_at("timeline", n))
-    found = lines.crossJoin(F.broadcast(sequences)).withColumn("days", days).where(F.forall("days", lambda d: d.isNotNull()))
-    scored = found.groupBy("seq").agg(F.count("*").alias("matches"), F.avg(order_expectation(F.col("days"))).alias("accuracy"))
-    null = 1 / F.factorial(F.size("seq"))
-    return scored.withColumn("null_accuracy", null).withColumn("lift", F.col("accuracy") - null)
+    listed = named.groupBy(case).agg(F.array_sort(F.collect_list(F.struct("name", "relative_day"))).alias("e"))
+    # A code can be called like another one's occurrence: the later day stays.
+    last = F.filter("e", lambda x, i: F.coalesce(F.get("e", i + 1)["name"] != x["name"], F.lit(True)))
+    return listed.select(case, F.map_from_entries(last).alias("timeline"))
+
+
+def parsed(names: DataFrame, members: dict[str, list[str]] | None = None) -> DataFrame:
+    """names (name, ...) with needs, the codes of each node that must be there, in order, and absent, the codes that must not.
+
+    A name is SEQ_a_TO_b..., doses count as their sequence, NOT_ nodes are absent, and bundles stand for their members (bundle: [code, ...])."""
+    nodes = F.split(F.regexp_replace(F.regexp_replace("name", r"_\[NODE_\d+_DOSE\]", ""), "SEQ_", ""), "_TO_")
+    table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*(F.lit(v) for v in x)) for kv in (members or {"": [""]}).items() for x in kv))
+    codes = lambda n: F.coalesce(F.try_element_at(table, n), F.array(n))
+    needs = F.transform(F.filter("_n", lambda n: ~n.startswith("NOT_")), codes)
+    absent = F.flatten(F.transform(F.filter("_n", lambda n: n.startswith("NOT_")), lambda n: codes(F.regexp_replace(n, "^NOT_", ""))))
+    return names.withColumn("_n", nodes).withColumn("needs", needs).withColumn("absent", absent).drop("_n")
+
+
+def validated(lines: DataFrame, sequences: DataFrame, first_member_only: bool = False) -> DataFrame:
+    """Sequences (name, needs, absent, total) with nodes, matches, coverage, null_accuracy, accuracy and lift.
+
+    A timeline matches if it has all codes needed and none that is absent; `total` is the number of cases that hold the sequence. A bundle lies on the last
+    day of its members, or with first_member_only on that of the first, without asking for the others. The accuracy is the mean expected order score; sequences of fewer than two needed nodes aren't checked.
+    Timelines meet sequences by the code that these need first, so a case is compared with those only.
+    """
+    needs = F.transform("needs", lambda n: F.slice(n, 1, 1)) if first_member_only else F.col("needs")
+    asked = sequences.withColumn("needs", needs).where("size(needs) >= 2").select("name", "needs", "absent", F.col("needs")[0][0].alias("_key"))
+    met = lines.select("timeline", F.explode(F.map_keys("timeline")).alias("_key")).join(asked, "_key")
+    day = lambda n: F.when(F.forall(n, lambda c: F.map_contains_key(F.col("timeline"), c)), F.array_max(F.transform(n, lambda c: F.try_element_at(F.col("timeline"), c))))
+    days = met.withColumn("days", F.transform("needs", day)).where(F.forall("days", lambda d: d.isNotNull()) & ~F.exists("absent", lambda c: F.map_contains_key(F.col("timeline"), c)))
+    scored = days.groupBy("name").agg(F.count("*").alias("matches"), F.avg(order_expectation(F.col("days"))).alias("accuracy"))
+    out = sequences.select("name", "total", F.size("needs").alias("nodes")).join(scored, "name", "left").na.fill(0, ["matches"])
+    out = out.withColumn("coverage", F.when(F.col("total") > 0, F.col("matches") / F.col("total")).otherwise(0.0))
+    out = out.withColumn("null_accuracy", F.when(F.col("matches") > 0, 1 / F.factorial("nodes")))
+    return out.withColumn("lift", F.col("accuracy") - F.col("null_accuracy"))
+
+
+def best_ordered(checked: DataFrame, most: int = 5) -> DataFrame:
+    """The best by lift, then coverage, both on three decimals as they are shown, then by name."""
+    shown = checked.where("matches > 0 and lift is not null").withColumn("_l", F.round("lift", 3)).withColumn("_c", F.round("coverage", 3))
+    return shown.orderBy(F.desc("_l"), F.desc("_c"), "name").limit(most).drop("_l", "_c")
 
 
 def traces(events: DataFrame, case: str, code: str, order: list[str]) -> DataFrame:

@@ -37,12 +37,18 @@ def _margins(spark, d):
     return mining.with_margins(mining.pair_counts(nodes), nodes, cases), nodes, cases
 
 
+def _supported_pairs(spark, d):
+    """Pairs above the support floor, with margins."""
+    floor = F.greatest(F.lit(C.min_support), F.floor(F.col("total") * C.support))
+    return _margins(spark, d)[0].where(F.col("n_ab") >= floor)
+
+
 _LIFT = "CASE WHEN n = 0 THEN 1.0 WHEN pos = 0 THEN 1 / base ELSE least(1 / base, greatest((pos / n) / base, base / (pos / n))) END"
 _LIFTED = "(SELECT *, greatest(CAST(positives AS DOUBLE) / total, 0.0001) AS base FROM {})"
 
 
 def _scored_sql(diff: str) -> str:
-    return f"""WITH {A.PAIRS}, p AS (SELECT *, CAST(n_ab AS DOUBLE) / n_a AS ba, CAST(n_ab AS DOUBLE) / n_b AS ab, CAST(pos_ab AS DOUBLE) AS pos, n_ab AS n FROM wide),
+    return f"""WITH {A.PAIRS}, p AS (SELECT *, CAST(n_ab AS DOUBLE) / n_a AS ba, CAST(n_ab AS DOUBLE) / n_b AS ab, CAST(pos_ab AS DOUBLE) AS pos, n_ab AS n FROM wide WHERE n_ab >= greatest(3, floor(total * 0.005))),
 q AS (SELECT *, {diff} AS d FROM {_LIFTED.format('p')}),
 s AS (SELECT CASE WHEN d > 0 THEN a ELSE b END AS src, CASE WHEN d > 0 THEN b ELSE a END AS dst, n_ab, abs(d) AS diff,
 CASE WHEN d > 0 THEN (ba - CAST(n_b AS DOUBLE) / total) / (CAST(n_b AS DOUBLE) / total) ELSE (ab - CAST(n_a AS DOUBLE) / total) / (CAST(n_a AS DOUBLE) / total) END AS markov, {_LIFT} AS lift FROM q WHERE abs(d) >= 0.1)
@@ -51,14 +57,12 @@ SELECT src, dst, n_ab, round(diff, 6) AS diff, round(markov, 6) AS markov, round
 
 @query(_scored_sql("ba - ab"))
 def pair_power(spark, d):
-    wide, *_ = _margins(spark, d)
-    return mining.score_pairs(wide, C.asymmetry, C.markov).select("src", "dst", "n_ab", *_r("diff", "markov", "lift", "power"))
+    return mining.score_pairs(_supported_pairs(spark, d), C.asymmetry, C.markov).select("src", "dst", "n_ab", *_r("diff", "markov", "lift", "power"))
 
 
 @query(_scored_sql("(ba - ab) / (ba + ab)"))
 def pair_power_normalized(spark, d):
-    wide, *_ = _margins(spark, d)
-    return mining.score_pairs(wide, C.asymmetry, C.markov, normalized=True).select("src", "dst", "n_ab", *_r("diff", "markov", "lift", "power"))
+    return mining.score_pairs(_supported_pairs(spark, d), C.asymmetry, C.markov, normalized=True).select("src", "dst", "n_ab", *_r("diff", "markov", "lift", "power"))
 
 
 @query(f"WITH {A.PAIRS} SELECT a, b, n_ab, CAST(pos_ab AS BIGINT) AS pos_ab, round(greatest(CAST(n_b AS DOUBLE) / n_a, CAST(n_a AS DOUBLE) / n_b), 6) AS ratio FROM wide WHERE greatest(CAST(n_b AS DOUBLE) / n_a, CAST(n_a AS DOUBLE) / n_b) >= 1.1")
@@ -148,14 +152,6 @@ def bh_fdr(spark, d):
     return mining.step_up(tests, "p", ["a", "b"], C.fdr).select("a", "b", F.round("p", 6).alias("p_bound"), "rank", "kept")
 
 
-@query()
-def permutation_null(spark, d):
-    wide, *_ = _margins(spark, d)
-    sets = wide.select(F.abs(F.xxhash64("a", "b") % 1_000_000_007).alias("id"), "a", "b", F.col("n_ab").alias("n"), F.col("pos_ab").alias("pos"), "total", "positives")
-    null = mining.permutation_null(sets, C.permutations, seed=1)
-    return sets.select("id", "a", "b").join(null, "id").drop("id")
-
-
 @query(f"""WITH {A.PAIRS}, g AS (SELECT i / 20.0 AS g FROM range(1, 11) AS r(i)) SELECT CAST(g AS DOUBLE) AS asymmetry, CAST(l.m AS DOUBLE) AS markov, count(*) AS pairs FROM (SELECT abs(CAST(n_ab AS DOUBLE) / n_a - CAST(n_ab AS DOUBLE) / n_b) AS d,
 abs(CASE WHEN n_b > n_a THEN (CAST(n_ab AS DOUBLE) / n_a - CAST(n_b AS DOUBLE) / total) / (CAST(n_b AS DOUBLE) / total) ELSE (CAST(n_ab AS DOUBLE) / n_b - CAST(n_a AS DOUBLE) / total) / (CAST(n_a AS DOUBLE) / total) END) AS k FROM wide) AS x
 JOIN g ON d >= g JOIN (SELECT i / 20.0 AS m FROM range(1, 11) AS r(i)) AS l ON k >= l.m GROUP BY 1, 2""")
@@ -259,10 +255,12 @@ def timeline_map(spark, d):
 @query(f"""WITH {_PLACED}, f AS (SELECT case_id, code, d FROM placed WHERE o = 1), p AS (SELECT x.code AS a, y.code AS b, count(*) AS matches, avg(CASE WHEN x.d < y.d THEN 1.0 WHEN x.d = y.d THEN 0.5 ELSE 0.0 END) AS acc FROM f AS x JOIN f AS y ON x.case_id = y.case_id AND x.code != y.code GROUP BY 1, 2)
 SELECT a, b, matches, round(acc, 6) AS accuracy, 0.5::DOUBLE AS null_accuracy, round(acc - 0.5, 6) AS lift FROM p""")
 def order_accuracy(spark, d):
-    lines = temporal.timelines(temporal.timeline_events(A.dated(spark, d), "case_id", "code", "day", "slot"), "case_id", "code")
-    codes = A.dated(spark, d).select("code").distinct()
-    sequences = codes.withColumnRenamed("code", "a").join(codes.withColumnRenamed("code", "b"), F.expr("a != b")).select(F.array("a", "b").alias("seq"))
-    return temporal.order_accuracy(lines, sequences).select(F.col("seq")[0].alias("a"), F.col("seq")[1].alias("b"), "matches", *_r("accuracy", "null_accuracy", "lift"))
+    placed = temporal.timeline_events(A.dated(spark, d), "case_id", "code", "day", "slot")
+    first = placed.where("occurrence = 1").select("case_id", "code")
+    pairs = first.withColumnRenamed("code", "a").join(first.withColumnRenamed("code", "b"), "case_id").where("a != b").groupBy("a", "b").agg(F.count("*").alias("total"))
+    asked = pairs.select("a", "b", "total", F.to_json(F.array("a", "b")).alias("name"), F.array(F.array("a"), F.array("b")).alias("needs"), F.array().cast("array<string>").alias("absent"))
+    out = temporal.validated(temporal.timelines(placed, "case_id", "code"), asked)
+    return asked.select("a", "b", "name").join(out, "name").select("a", "b", "matches", *_r("accuracy", "null_accuracy", "lift"))
 
 
 @query(f"WITH {A.DATED}, t AS (SELECT case_id, string_agg(code, ',' ORDER BY day, slot) AS variant FROM dated GROUP BY case_id) SELECT variant, count(*) AS cases FROM t GROUP BY variant")
@@ -279,7 +277,7 @@ def subsequence_match(spark, d):
 
 @query()
 def prefixspan(spark, d):
-    return models.frequent_sequences(temporal.traces(A.dated(spark, d), "case_id", "code", ["day", "slot"]), 0.05, 4)
+    return models.frequent_sequences(temporal.traces(A.dated(spark, d), "case_id", "code", ["day", "slot"]), 0.05, most=C.prune)
 
 
 def _h(p: str) -> str:
@@ -348,7 +346,7 @@ CASE WHEN missing_ig > 0.01 AND baseline_ig <= 0.01 AND c IS NOT NULL THEN array
 CASE WHEN missing_ig > 0.01 AND baseline_ig > 0.01 THEN 'Predictive Missingness (Informative)' WHEN missing_ig > 0.01 AND c IS NOT NULL THEN 'Structural Block (Redundant)' WHEN missing_ig > 0.01 THEN 'Isolated Predictive Missingness'
 WHEN baseline_ig > 0.01 THEN 'Non-Informative Missingness' ELSE 'Pure Noise' END AS classification, CASE WHEN missing_ig > 0.01 AND baseline_ig > 0.01 THEN zone ELSE 'N/A' END AS zone FROM k""")
 def missing_report(spark, d):
-    return missingness.report(A.gaps(spark, d), A.GAPS).withColumns({c: F.bround(c, 4) for c in ("baseline_ig", "missing_ig")})
+    return missingness.report(A.gaps(spark, d), A.GAPS, C.interaction_order, C.signal, C.redundancy).withColumns({c: F.bround(c, 4) for c in ("baseline_ig", "missing_ig")})
 
 
 @query(f"WITH {A.GAPPED}, m AS (SELECT avg(c_qty) AS m FROM gaps WHERE l_orderkey % 10 < 7) SELECT l_orderkey, l_linenumber, round(coalesce(c_qty, m), 6) AS c_qty, CAST(c_qty IS NULL AS INTEGER) AS c_qty_missing FROM gaps CROSS JOIN m")

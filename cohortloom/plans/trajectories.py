@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, mining, sequences
 from . import adapters as A
-from .queries import SQL, C, query
+from .queries import C, query
 
 ROUNDS = 4
 
@@ -143,11 +143,9 @@ def dose_compression(spark, d):
 
 
 @query()
-def hypergeometric_p(spark, d):
+def permutation_null(spark, d):
     """empirical_p with the default number of draws for each sequence, whatever the number of cases."""
     miner = _miner(spark, d)
     found = mining.cut(miner.mine(3, C.asymmetry, C.markov))
     return _shown(sequences.empirical_p(found, sequences.hypergeometric_null(found, miner.total, miner.positives, C.permutations))).select("seq", "power", "p_value")
 
-
-assert SQL

@@ -33,7 +33,10 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def find_column(df: DataFrame, word: str) -> str:
     """The first column whose name holds a word, whatever its case."""
-    return next(c for c in df.columns if word.lower() in c.lower())
+    for c in df.columns:
+        if word.lower() in c.lower():
+            return c
+    raise ValueError(f"no column with {word} among {df.columns}")
 
 
 def head(df: DataFrame, n: int, *order: str) -> DataFrame:
@@ -70,3 +73,22 @@ def synthetic_missingness(spark: SparkSession, rows: int, seed: int = 7) -> Data
         F.when(F.col("v") >= 0.15, F.col("heart_rate")).alias("heart_rate"),
         F.when(~((F.col("systolic_bp") > 180) & (F.col("w") < 0.75)), F.col("systolic_bp")).alias("systolic_bp"),
     )
+
+
+def write_matrix(df: DataFrame, columns: list[str], path: str) -> None:
+    """The chosen columns of a feature table, for inspection."""
+    write_csv(df.select(*columns), path)
+
+
+def dual_triggers(spark: SparkSession, rows: int = 3000, seed: int = 11) -> DataFrame:
+    """Columns whose gaps depend on two others each: bmi on age and chf, a1c on diabetes and bmi, age on the outcome and itself."""
+    u = lambda i: F.rand(seed + i)
+    x = spark.range(rows).select("id", (65 + 15 * F.randn(seed)).alias("age"), (27 + 5 * F.randn(seed + 1)).alias("bmi"), (6 + F.randn(seed + 2)).alias("a1c_lab"), (u(3) < 0.3).cast("int").alias("elixhauser_diabetes"), (u(4) < 0.25).cast("int").alias("elixhauser_chf"), u(5).alias("p"), u(6).alias("q"), u(7).alias("r"), u(8).alias("s"))
+    x = x.withColumn("outcome", (F.col("s") < 1 / (1 + F.exp(-(F.col("age") - 70) / 10 - F.col("elixhauser_chf")))).cast("int"))
+    gone = lambda when, draw, rate: when & (F.col(draw) < rate)
+    return x.select(
+        "id", "elixhauser_diabetes", "elixhauser_chf", "outcome",
+        F.when(~gone((F.col("age") > 75) & (F.col("elixhauser_chf") == 1), "p", 0.75), F.col("bmi")).alias("bmi"),
+        F.when(~gone((F.col("elixhauser_diabetes") == 0) & (F.col("bmi") < 25), "q", 0.9), F.col("a1c_lab")).alias("a1c_lab"),
+        F.when(~gone((F.col("outcome") == 1) & (F.col("age") < 40), "r", 0.5), F.col("age")).alias("age"),
+    )
