@@ -13,9 +13,10 @@ removed. The reference is the corpus itself, cut into indexed blocks:
    array and each is factored greedily: the longest match anywhere else in the block is looked up where a factor starts, and nowhere else. Factors of `window`
    words or more become spans. A window that isn't inside a factor can only repeat if the factor that starts at the first boundary
    in it reaches its end, as that factor is at least as long as the rest of the window's own match: only such windows are looked up too.
-4. An anchor with more than HOT kinds of segments doesn't fit one block. Its segments are cut by where the anchor lies in a window, into halves, quarters and so
-   on: all windows of a piece share more words than the anchor, which are its new key, so equal windows meet again, in smaller blocks. At the last
-   cut a piece is one window and the key the whole of it, so that no key has several kinds.
+4. An anchor with more than HOT kinds of segments doesn't fit one block. Such anchors are few (at most KEYS, as the bound rises with the kinds) and are broadcast;
+   a further scan cuts their segments by where the anchor lies in a window, 16 places together, then 8, and so on: all windows of a piece share more words than the
+   anchor, which are its new key, so equal windows meet again, in smaller blocks. At the last cut a piece is one window and the key the whole of it, so that no
+   key has several kinds.
 
 Counts of an anchor are made by partial aggregation. Where its rows must meet its count, those of anchors above HEAVY are salted.
 
@@ -38,17 +39,19 @@ from ._text import Words, adding, cut, mix, ngram_hashes, packed, row_key, seque
 GRAM = 6
 #: Distinct segments of one anchor that a block takes; segments of a block before it is closed.
 HOT, BLOCK = 2000, 12000
+#: Keys that can have more kinds than a block takes: the bound for a block is a KEYS-th of all kinds, or HOT.
+KEYS = 1_000_000
 #: Rows of an anchor from which they are salted: this many, or a ten-thousandth of the documents, which bounds how many such anchors there are; and the salts.
 HEAVY, SALTS = 20_000, 64
 _AT = np.uint64((1 << 28) - 1)
 
 
 def segments(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(anchor, content hash, document, first window's start in the document, windows) of each segment."""
+    """(anchor, content hash, document, first window's start in the document, windows, anchor's place after that start) of each segment."""
     n = len(hashes) - window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none, none
     grams = ngram_hashes(hashes, min(GRAM, window))
     least = (grams & ~_AT) | np.arange(len(grams), dtype=np.uint64)
     span, have = window - min(GRAM, window) + 1, 1
@@ -61,25 +64,60 @@ def segments(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
     ends = np.repeat(words.doc[1:], words.counts)[:n]
     valid = np.flatnonzero(ends - np.arange(n) >= window)
     if not len(valid):
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none, none
     at = anchor_at[valid]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     starts, counts = valid[first], np.diff(np.concatenate((first, [len(valid)])))
     doc = np.searchsorted(words.doc, starts, "right") - 1
-    return grams[at[first]], sequence_hashes(hashes, starts, starts + counts + window - 1), doc, starts - words.doc[doc], counts
+    return grams[at[first]], sequence_hashes(hashes, starts, starts + counts + window - 1), doc, starts - words.doc[doc], counts, at[first] - starts
 
 
-def _find_segments(window: int):
+def pieces(hashes: np.ndarray, a: np.ndarray, start: np.ndarray, n: np.ndarray, place: np.ndarray, window: int, width: int) -> tuple[np.ndarray, ...]:
+    """Cuts segments (anchor, first word, windows, the anchor's place after it) by where the anchor lies in a window, `width` places together: key, content
+    hash, segment, first window and windows of each piece."""
+    out = []
+    for least in range(0, window - min(GRAM, window) + 1, width):
+        most = min(least + width, window - min(GRAM, window) + 1) - 1
+        # A window that starts at word j of the segment has the anchor at `place - j`.
+        low, high = np.maximum(0, place - most), np.minimum(n - 1, place - least)
+        some = np.flatnonzero(low <= high)
+        low, high, base = low[some], high[some], start[some]
+        key = sequence_hashes(hashes, base + place[some] - least, base + place[some] - most + window)
+        out.append((mix(key ^ mix(a[some] + np.uint64(width * 64 + least))), sequence_hashes(hashes, base + low, base + high + window), some, low, high - low + 1))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _find_segments(window: int, hot=None, above: int | None = None, width: int | None = None):
+    """The segments of all texts; or, of those with a hot anchor - or a hot key when cut by `above` places -, the pieces of `width` places."""
+
     def run(batches):
         for batch in batches:
             for rows, data, at in slices(batch):
                 words = Words(data, at)
-                anchor, content, doc, start, count = segments(words, words.hashes(), window)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(signed(content)), rows.column("k").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["a", "h", "k", "start", "n"])
+                hashes = words.hashes()
+                key, content, doc, start, count, place = segments(words, hashes, window)
+                if hot is not None:
+                    base = words.doc[doc] + start
+                    if above is None:
+                        some = np.flatnonzero(_among(key, hot.value))
+                        key, doc, base, count, place = key[some], doc[some], base[some], count[some], place[some]
+                    else:
+                        own, _, seg, low, many = pieces(hashes, key, base, count, place, window, above)
+                        some = np.flatnonzero(_among(own, hot.value))
+                        seg, low, many = seg[some], low[some], many[some]
+                        key, doc, base, count, place = key[seg], doc[seg], base[seg] + low, many, place[seg] - low
+                    key, content, seg, low, count = pieces(hashes, key, base, count, place, window, width)
+                    doc = doc[seg]
+                    start = base[seg] + low - words.doc[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(content)), rows.column("k").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["a", "h", "k", "start", "n"])
 
     return run
 
 
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
 def _lists(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """A list column of values[start:end] for each range."""
     sizes = ends - starts
@@ -223,45 +261,6 @@ def _parse_blocks(window: int):
     return run
 
 
-def _pieces(window: int, width: int):
-    """Cuts segments (a: their anchor, words) by where the anchor lies in a window, `width` places together: key, content hash, and where the piece lies.
-
-    The anchor is the first run with the hash a among those that all windows of the segment hold."""
-    gram = min(GRAM, window)
-    places = window - gram + 1
-
-    def run(batches):
-        for batch in batches:
-            parts, a = batch.column("words"), np.asarray(batch.column("a")).view(np.uint64)
-            at = np.asarray(parts.offsets).astype(np.int64)
-            at, values = at - at[0], np.asarray(parts.flatten()).view(np.uint64)
-            n = np.diff(at) - window + 1
-            grams = ngram_hashes(values, gram)
-            seg = np.repeat(np.arange(len(n)), np.diff(at))[: len(grams)]
-            inside = np.arange(len(grams)) - at[:-1][seg]
-            there = np.flatnonzero((grams == a[seg]) & (inside >= n[seg] - 1) & (inside < places))
-            own, first = np.unique(seg[there], return_index=True)
-            anchor = np.zeros(len(n), np.int64)
-            anchor[own] = inside[there[first]]
-            out = []
-            for least in range(0, places, width):
-                most = min(least + width, places) - 1
-                # A window that starts at word j of the segment has the anchor at place anchor - j.
-                low, high = np.maximum(0, anchor - most), np.minimum(n - 1, anchor - least)
-                some = np.flatnonzero(low <= high)
-                low, high = low[some], high[some]
-                base = at[:-1][some]
-                shared = sequence_hashes(values, base + anchor[some] - least, base + anchor[some] - most + window)
-                key = mix(shared ^ mix(a[some] + np.uint64(width * 64 + least)))
-                out.append((key, sequence_hashes(values, base + low, base + high + window), some, low, high - low + 1))
-            key, content, some, low, count = (np.concatenate(x) for x in zip(*out, strict=True))
-            rows = batch.take(pa.array(some))
-            start = np.asarray(rows.column("start")) + low
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(content)), rows.column("k"), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), rows.column("a")], ["a", "h", "k", "start", "n", "anchor"])
-
-    return run
-
-
 def with_counts(rows: DataFrame, counts: DataFrame, heavy: int) -> DataFrame:
     """rows with the columns of counts (a, c, ...), inner; rows of anchors with c above `heavy` are salted."""
     few = counts.where(F.col("c") > heavy).select("a", F.lit(True).alias("_heavy"))
@@ -281,27 +280,27 @@ def duplicate_spans(docs: DataFrame, window: int = 35, hot: int | None = None) -
         # The texts are shuffled by k as remove_duplicates shuffles them, so that Spark does it once.
         return keyed.join(listed, "k").mapInArrow(_cut_out(window), "a long, k long, start int, words array<long>")
 
-    segs = docs.select(row_key().alias("k"), "text").mapInArrow(_find_segments(window), "a long, h long, k long, start int, n int")
-    segs = segs.withColumn("anchor", F.col("a"))
-    spans, width = None, window - min(GRAM, window) + 1
+    texts, schema = docs.select(row_key().alias("k"), "text"), "a long, h long, k long, start int, n int"
+    segs, spans, above, width = texts.mapInArrow(_find_segments(window), schema), None, None, 16
     while True:
         shared = segs.groupBy("a").agg(F.count("*").alias("c")).where("c > 1")
         # One row for each segment whose anchor repeats: a part of the corpus, used by all that follows.
         repeated = cut(with_counts(segs, shared, heavy).drop("c"))
-        kinds = cut(repeated.groupBy("a", "h").agg(F.count("*").alias("copies"), F.min(F.struct("k", "start", "n", "anchor")).alias("one")))
+        kinds = cut(repeated.groupBy("a", "h").agg(F.count("*").alias("copies"), F.min(F.struct("k", "start", "n")).alias("one")))
         equal = repeated.join(kinds.where("copies > 1").select("a", "h"), ["a", "h"], "left_semi")
         found = equal.select("k", F.col("start").alias("low"), (F.col("start") + F.col("n") + (window - 1)).alias("high"))
         # A kind that occurs once in a mixed group is a candidate; the others of its group are its reference.
         mixed = kinds.groupBy("a").agg(F.count("*").alias("c")).where("c > 1")
-        parts = with_counts(kinds.select("a", "one.*"), mixed, heavy)
-        blocks = contents(parts.where(F.col("c") <= hot)).repartition("a").sortWithinPartitions("a")
+        bound = max(hot, kinds.count() // KEYS)
+        blocks = contents(with_counts(kinds.select("a", "one.*"), mixed.where(F.col("c") <= bound), heavy)).repartition("a").sortWithinPartitions("a")
         found = found.unionByName(blocks.mapInArrow(_parse_blocks(window), "k long, low int, high int"))
         spans = found if spans is None else spans.unionByName(found)
-        if width == 1 or mixed.where(F.col("c") > hot).isEmpty():
+        keys = mixed.where(F.col("c") > bound).select("a").toPandas()["a"].to_numpy(np.int64)  # at most KEYS
+        if above == 1 or not len(keys):
             return spans
-        width = -(-width // 2)
-        wide = contents(parts.where(F.col("c") > hot).select("k", F.col("anchor").alias("a"), "start", "n"))
-        segs = wide.mapInArrow(_pieces(window, width), "a long, h long, k long, start int, n int, anchor long")
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
+        segs = texts.mapInArrow(_find_segments(window, known, above, width), schema)
+        above, width = width, width // 2
 
 
 def _kept(batches):
