@@ -217,6 +217,23 @@ def test_near_duplicates_by_blocks(spark, monkeypatch):
     assert components.components(spark.createDataFrame([(5, 4), (4, 9), (1, 2)], "u long, v long")).count() == 5
 
 
+def test_components(spark, monkeypatch):
+    """Against a plain union-find, where one partition is left after contraction and where rounds follow; a path, a star around its largest node, copies, loops, none."""
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(90, i) for i in range(60, 70)] + [(1, 2), (2, 1), (1, 2), (7, 7)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]
+    r.shuffle(edges)
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for u, v in edges:
+        if u != v and root[u] != root[v]:
+            low, high = sorted((root[u], root[v]))
+            root = {x: low if y == high else y for x, y in root.items()}
+    for most in (200_000, 10):
+        monkeypatch.setattr(components, "EDGES", most)
+        got = components.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()
+        assert sorted(map(tuple, got)) == sorted(root.items())
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_prior_from_counts():
     p, u = np.zeros(100), np.zeros(100)
     p[80:], u[80:], u[:80] = 50, 25, 25 / 4 * 3
