@@ -14,7 +14,7 @@ removed. The reference is the corpus itself, cut into indexed blocks:
    words or more become spans. A window that isn't inside a factor can only repeat if the factor that starts at the first boundary
    in it reaches its end, as that factor is at least as long as the rest of the window's own match: only such windows are looked up too.
 4. An anchor with more than HOT kinds of segments doesn't fit one block. Such anchors are few (at most KEYS, as the bound rises with the kinds) and are broadcast;
-   a further scan cuts their segments by where the anchor lies in a window, 16 places together, then 8, and so on: all windows of a piece share more words than the
+   a further scan cuts their segments by where the anchor lies in a window, 16 places together, then 4, then each alone: all windows of a piece share more words than the
    anchor, which are its new key, so equal windows meet again, in smaller blocks. At the last cut a piece is one window and the key the whole of it, so that no
    key has several kinds.
 
@@ -300,7 +300,7 @@ def duplicate_spans(docs: DataFrame, window: int = 35, hot: int | None = None) -
             return spans
         known = docs.sparkSession.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
         segs = texts.mapInArrow(_find_segments(window, known, above, width), schema)
-        above, width = width, width // 2
+        above, width = width, width // 4
 
 
 def _kept(batches):
