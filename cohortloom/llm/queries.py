@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, language_model, licenses, merkle, periods, quality, toxicity
+from . import fingerprints, language_id, language_model, licenses, merkle, periods, quality, secret_scan, toxicity
 from ._text import documents
 from .decontaminate import decontaminate
 from .mixing import repetitions
@@ -225,3 +225,12 @@ b AS (SELECT k, s, l, q FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER B
 SELECT doc_id, coalesce(c, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * l // q AS BIGINT) AS exponent_milli, sha256(coalesce(c.x, '')) AS runs_sha256, sha256(coalesce(kept.x, '')) AS collapsed_sha256
 FROM o LEFT JOIN c USING (k) LEFT JOIN b USING (k) LEFT JOIN kept USING (k)
 """
+
+
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["via"] == "")
+    count = lambda kind: F.size(F.filter("spans", lambda s: (s["via"] == "") & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("row.doc_id", *(count(k) for k in secret_scan.KINDS), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), "n_layers", "n_unopened")
