@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._text import cut
 
-FAN, STEP = 16, 3
+FAN, STEP = 16, 3  # digests of a run, levels of a superblock
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -82,36 +82,40 @@ def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     return placed.join(before, ["tree", "_range"]).withColumn("pos", F.col("_i") - F.col("_first") + F.col("_before")).drop("_i", "_first", "_before", "_range")
 
 
-def _block() -> Column:
-    return F.floor(F.col("pos") / F.lit(FAN**STEP)).alias("block")
+def _block(step: int) -> Column:
+    return F.floor(F.col("pos") / F.lit(FAN**step)).alias("block")
 
 
-def _reduced(rows: pd.DataFrame) -> pd.DataFrame:
+def _reduced(step: int):
     """One superblock as a node of the tree above."""
-    rows = rows.sort_values("pos")
-    n = int(rows["n"].iloc[0])
-    up = min(STEP, depth(n))
-    return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "pos": [int(rows["pos"].iloc[0]) // FAN**STEP], "n": [-(-n // FAN**up)], "digest": [_levels(rows["digest"].tolist(), up)[-1][0]]})
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        n = int(rows["n"].iloc[0])
+        up = min(step, depth(n))
+        return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "pos": [int(rows["pos"].iloc[0]) // FAN**step], "n": [-(-n // FAN**up)], "digest": [_levels(rows["digest"].tolist(), up)[-1][0]]})
 
-def _climbed(nodes: DataFrame) -> list[DataFrame]:
-    """nodes (tree, pos, n, digest), and above them one frame for each STEP levels, until every tree has a single node."""
+    return run
+
+
+def _climbed(nodes: DataFrame, step: int) -> list[DataFrame]:
+    """nodes (tree, pos, n, digest), and above them one frame for each `step` levels, until every tree has a single node."""
     most = nodes.agg(F.max("n")).first()[0] or 1
     out = [nodes]
-    for _ in range(max(1, -(-depth(most) // STEP))):
-        out.append(cut(out[-1].groupBy("tree", _block()).applyInPandas(_reduced, "tree string, pos long, n long, digest string")))
+    for _ in range(max(1, -(-depth(most) // step))):
+        out.append(cut(out[-1].groupBy("tree", _block(step)).applyInPandas(_reduced(step), "tree string, pos long, n long, digest string")))
     return out
 
 
-def _joined(nodes: DataFrame, outer: DataFrame, finish, schema: str) -> DataFrame:
+def _joined(nodes: DataFrame, outer: DataFrame, step: int, finish, schema: str) -> DataFrame:
     """Cogroups each superblock with the path that leads on from it. finish(rows, sides of the inner levels, path, subroot, root) gives the rows of schema."""
 
     def run(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         rows, on = rows.sort_values("pos"), above.iloc[0]
-        inner = _levels(rows["digest"].tolist(), min(STEP, depth(int(rows["n"].iloc[0]))))[:-1]
+        inner = _levels(rows["digest"].tolist(), min(step, depth(int(rows["n"].iloc[0]))))[:-1]
         return finish(rows, [_sides(x) for x in inner], list(zip(on["left"], on["right"], strict=True)), on["subroot"], on["root"])
 
-    return nodes.groupBy("tree", _block()).cogroup(outer.groupBy("tree", "pos")).applyInPandas(run, schema)
+    return nodes.groupBy("tree", _block(step)).cogroup(outer.groupBy("tree", "pos")).applyInPandas(run, schema)
 
 
 def _passed_on(bottom: bool):
@@ -147,22 +151,24 @@ def _finished(proofs: bool):
     return finish
 
 
-def manifest(docs: DataFrame, altered: Column | None = None, proofs: bool = False) -> DataFrame:
+def manifest(docs: DataFrame, altered: Column | None = None, proofs: bool = False, step: int = STEP) -> DataFrame:
     """doc_id, source, pos (in its source, from 0), leaf, subroot, root, proof_sha256 and folded_root of every row, and proof if asked for.
 
     `altered` gives another text for some rows (null: none): folded_root is what the leaf with that text and the row's proof lead to, and differs
     from root where the text does."""
     kinds = dict(docs.dtypes)
     other = F.lit(None).cast("string") if altered is None else F.when(altered.isNotNull(), leaf(altered))
-    rows = docs.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("tree"), "doc_id", "source", leaf().alias("digest"), other.alias("altered"))
-    leaves = cut(_numbered(rows, [F.col("tree"), F.col("doc_id").asc_nulls_first(), F.col("digest")]))
-    below = _climbed(leaves)
+    rows = docs.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("tree"), F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("order"), "source", leaf().alias("digest"), other.alias("altered"))
+    rows = cut(rows)  # ranges are sampled first: the texts are read once only
+    leaves = cut(_numbered(rows, [F.col("tree"), F.col("order").asc_nulls_first(), F.col("digest")]).drop("order"))  # a null would make pandas count in floats
+    below = _climbed(leaves, step)
     subroots = below[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
-    above = _climbed(cut(_numbered(subroots, [F.col("tree"), F.col("name")])))
+    above = _climbed(cut(_numbered(subroots, [F.col("tree"), F.col("name")])), step)
     none = F.array().cast("array<string>")
     outer = above[-1].select("tree", "pos", none.alias("left"), none.alias("right"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
     for nodes in reversed([*below[1:-1], *above[:-1]]):
-        outer = _joined(nodes, outer, _passed_on(nodes is above[0]), "tree string, pos long, left array<string>, right array<string>, subroot string, root string")
+        outer = _joined(nodes, outer, step, _passed_on(nodes is above[0]), "tree string, pos long, left array<string>, right array<string>, subroot string, root string")
     more = ", left array<string>, right array<string>" if proofs else ""
-    out = _joined(leaves, outer, _finished(proofs), f"doc_id {kinds['doc_id']}, source string, pos long, leaf string, subroot string, root string, proof_sha256 string, folded_root string{more}")
+    out = _joined(leaves, outer, step, _finished(proofs), f"doc_id string, source string, pos long, leaf string, subroot string, root string, proof_sha256 string, folded_root string{more}")
+    out = out.withColumn("doc_id", F.col("doc_id").cast(kinds["doc_id"]))
     return out.withColumn("proof", F.arrays_zip("left", "right")).drop("left", "right") if proofs else out
