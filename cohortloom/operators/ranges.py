@@ -20,18 +20,20 @@ def _range(value: Column) -> Column:
     return F.size(F.filter("_edges", lambda e: e < value))
 
 
-def before(df: DataFrame, value: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
-    """df, which has one row for each value, with `name: the sum of a column over all smaller values` (larger ones, if descending).
+def before(df: DataFrame, value: str, sums: dict[str, str], descending: bool = False, group: list[str] = ()) -> DataFrame:
+    """df, which has one row for each value (of a group), with `name: the sum of a column over all smaller values` (larger ones, if descending).
 
     df is read three times: for the edges, for the totals of the ranges, and for the ranks within them.
     """
-    placed = df.crossJoin(F.broadcast(_bounds(df, [], value))).withColumn("_range", _range(F.col(value))).drop("_edges")
+    group, edges = list(group), _bounds(df, list(group), value)
+    placed = df.join(F.broadcast(edges), group) if group else df.crossJoin(F.broadcast(edges))
+    placed = placed.withColumn("_range", _range(F.col(value))).drop("_edges")
     turn = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    whole = Window.orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    totals = placed.groupBy("_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
-    totals = totals.select("_range", *(F.coalesce(F.sum(f"_{n}").over(whole), F.lit(0)).alias(f"_{n}") for n in sums))
-    inside = Window.partitionBy("_range").orderBy(turn(value)).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(F.broadcast(totals), "_range")
+    whole = Window.partitionBy(*group).orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    totals = placed.groupBy(*group, "_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    totals = totals.select(*group, "_range", *(F.coalesce(F.sum(f"_{n}").over(whole), F.lit(0)).alias(f"_{n}") for n in sums))
+    inside = Window.partitionBy(*group, "_range").orderBy(turn(value)).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.join(F.broadcast(totals), [*group, "_range"])
     return ranked.withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).drop("_range", *(f"_{n}" for n in sums))
 
 

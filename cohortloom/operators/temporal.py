@@ -78,3 +78,17 @@ def contains(trace: Column, pattern: list[str]) -> Column:
     """Whether the pattern occurs in order, gaps allowed: a fold that keeps how much of it has been seen."""
     p = F.array(*(F.lit(x) for x in pattern))
     return F.aggregate(trace, F.lit(0), lambda k, x: F.when((k < len(pattern)) & (F.get(p, k) == x), k + 1).otherwise(k)) == len(pattern)
+
+
+def variant_dictionary(trace: DataFrame, least: int = 1, most: int = 500) -> DataFrame:
+    """(feature, trace, cases) of the most frequent whole traces of training cases (case, trace), ties by name, with at least that many cases."""
+    counted = trace.groupBy("trace").agg(F.count("*").alias("cases")).where(F.col("cases") >= least)
+    best = counted.orderBy(F.desc("cases"), F.array_join("trace", ",")).limit(most)
+    listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("cases")).alias("n"), F.array_join("trace", ",").alias("name"), "trace", "cases"))).alias("l"))  # at most `most` rows
+    return listed.select(F.posexplode("l").alias("feature", "x")).select("feature", "x.trace", "x.cases")
+
+
+def variant_rows(trace: DataFrame, case: str, dictionary: DataFrame) -> DataFrame:
+    """(case, feature): cases of any split whose whole trace is in the dictionary, met by a hash of the trace and then compared."""
+    known = dictionary.select("feature", F.col("trace").alias("_trace"), F.xxhash64("trace").alias("_h"))
+    return trace.withColumn("_h", F.xxhash64("trace")).join(F.broadcast(known), "_h").where("trace = _trace").select(case, "feature")

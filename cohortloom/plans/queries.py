@@ -396,7 +396,8 @@ def l1_logistic(spark, d):
     return _named(models.logistic(wide, [f"v{i}" for i in range(len(values))], "y", c=0.1, l1=True), values)
 
 
-@query()
+@query(f"""WITH {A.BASKET}, {A.SUPPORT} SELECT node AS feature, (n - pos + 1) / CAST(total - positives + 2 AS DOUBLE) AS p_given_0, (pos + 1) / CAST(positives + 2 AS DOUBLE) AS p_given_1 FROM sup CROSS JOIN tot
+WHERE n >= greatest(3, floor(total * 0.005))""")
 def bernoulli_nb(spark, d):
     wide, values = _supported(spark, d)
     return _named(models.bernoulli_nb(wide, [f"v{i}" for i in range(len(values))], "y"), values)

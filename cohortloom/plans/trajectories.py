@@ -15,8 +15,10 @@ from .queries import C, query
 ROUNDS = 4
 
 
-def _miner(spark, d, deepest: int | None = 2) -> sequences.Miner:
-    present = sequences.atoms(A.basket_events(spark, d).where("node LIKE 'T%' OR node = 'Q_HIGH'"), deepest)
+def _miner(spark, d, deepest: int | None = 2, only: str | None = "node LIKE 'T%' OR node = 'Q_HIGH'") -> sequences.Miner:
+    """A miner over the nodes that `only` names (None: all), with recurrences up to `deepest` occurrences, and absences."""
+    events = A.basket_events(spark, d)
+    present = sequences.atoms(events if only is None else events.where(only), deepest)
     cases = A.cases(spark, d)
     whole = mining.totals(cases).first()
     floor = sequences.support_floor(whole["total"], C.support, C.min_support)

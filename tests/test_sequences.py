@@ -193,7 +193,7 @@ def test_search_and_models(spark):
     miner = _miner(spark, rows, [int(("A" in x) != (r.random() < 0.15)) for x in rows])
     data = models.design(miner, [["A"], ["B"], ["A", "B"]])
     assert models.selected(data, ["A", "B", "AB"], 0.05, 1.0)[0] == "A"
-    assert max(models.cross_validated(data, [0.1, 1.0]), key=lambda x: x[1])[1] > 0.7
+    assert max(models.cross_validated(data, 3, [0.1, 1.0]), key=lambda x: x[1])[1] > 0.7
     odds = {x["feature"]: x for x in models.bootstrap_odds(models.design(miner, [["A"], ["B"]]), ["A", "B"], 30).collect()}
     assert odds["A"]["excludes_one"] and odds["A"]["low"] > 5 and not odds["B"]["low"] > 2
 
