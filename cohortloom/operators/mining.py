@@ -240,3 +240,8 @@ def uncapped_lift(pos: Column, n: Column, base: Column) -> Column:
 def bundles_in_order(pairs: DataFrame) -> DataFrame:
     """Older bundling: pairs (a, b) chosen in column order instead of by similarity."""
     return bundles(pairs.withColumn("jaccard", F.lit(0.0)))
+
+
+def overlapping_bundles(pairs: DataFrame) -> DataFrame:
+    """Oldest bundling: every similar pair is a bundle, so bundles share members, and members stay."""
+    return pairs.select("a", "b", "n_ab")

@@ -54,15 +54,15 @@ def atoms(events: DataFrame, deepest: int | None = None) -> DataFrame:
     return each.select("case_id", F.concat("base", suffix).alias("atom"), "base", "occurrence")
 
 
-def build_nodes(present: DataFrame, total: int, floor: int, negative_floor: float | None = 0.05, bundled: list[tuple[str, str, int]] = ()) -> list[Node]:
-    """Nodes above the floor, from atoms: positive ones that aren't members of a bundle, bundles (a, b, joint cases), and absences.
+def build_nodes(present: DataFrame, total: int, floor: int, negative_floor: float | None = 0.05, bundled: list[tuple[str, str, int]] = (), keep_members: bool = False) -> list[Node]:
+    """Nodes above the floor, from atoms: positive ones that aren't members of a bundle (with keep_members: all), bundles (a, b, joint cases), and absences.
 
     NOT_x exists where x has at least `negative_floor` of the cases (None: always); the absence of a recurrence is that of cases which have its base, without
     such a test. Bundles have no absence. The list is bounded by the codes, not by the cases.
     """
     counts = present.groupBy("atom", "base", "occurrence").agg(F.count("*").alias("n")).orderBy("atom").collect()
     of = {r["atom"]: r["n"] for r in counts}
-    members = {x for a, b, _ in bundled for x in (a, b)}
+    members = set() if keep_members else {x for a, b, _ in bundled for x in (a, b)}
     nodes = [Node(r["atom"], r["base"], (r["atom"],), (), r["n"]) for r in counts if r["atom"] not in members]
     nodes += [Node(f"BUNDLE_{a}_{b}", f"BUNDLE_{a}_{b}", (a, b), (), n) for a, b, n in bundled]
     for r in counts:

@@ -157,7 +157,7 @@ def winning_sequences(spark, d):
     names, wanted, _, nodes = _wanted(miner)
     train = _splits(spark, d, miner, wanted)["train"]
     alone = models.subset(train, list(range(nodes, len(names))))
-    hybrid, only = models.in_parallel(spark, lambda x: models.fit(*x), [(train, len(names), 0.01, True), (alone, len(names) - nodes, 0.01, True)])
+    hybrid, only = models.in_parallel(spark, lambda x: models.fit(*x), [(train, len(names), 0.1, True), (alone, len(names) - nodes, 1.0, True)])
     source, kept = models.winners([("hybrid", hybrid, names), ("sequences", only, names[nodes:])])
     if not kept:
         return spark.createDataFrame([], "source string, feature string, coefficient double, odds_ratio double, low double, high double, excludes_one boolean")
@@ -165,7 +165,7 @@ def winning_sequences(spark, d):
     own = mining.cut(models.subset(train, keep))
     refit = models.fit(own, len(keep), 1e9, False)
     told = spark.createDataFrame([(source, n, x, b) for (n, x), b in zip(kept, refit.coefficients, strict=True)], "source string, feature string, coefficient double, log_odds double")
-    return told.join(models.bootstrap_odds(own, [n for n, _ in kept], DRAWS), "feature").select("source", "feature", "coefficient", F.exp("log_odds").alias("odds_ratio"), "low", "high", "excludes_one")
+    return told.join(models.bootstrap_odds(own, [n for n, _ in kept], DRAWS, rounds=12), "feature").select("source", "feature", "coefficient", F.exp("log_odds").alias("odds_ratio"), "low", "high", "excludes_one")
 
 
 @query()
@@ -255,18 +255,66 @@ def impute_chained(spark, d):
 @query()
 def boosted_trees(spark, d):
     """Boosted trees on three ways to handle gaps: means, chained regressions, and these with indicators for what the report calls predictive and without what it calls noise.
-    Everything is learned from seven tenths of the orders, scores are of the others."""
+    Everything is learned from seven tenths of the orders, scores are of the others. The price columns are left out, as the outcome is a price above the median."""
+    columns = [c for c in A.GAPS if not c.endswith("price")]
     gaps = mining.cut(A.gaps(spark, d).withColumn("key", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))))
     fit = F.expr(_FIT)
-    report = missingness.report(gaps.where(fit), A.GAPS, C.interaction_order, C.signal, C.redundancy).select("variable", "classification").collect()  # a row for each column
+    report = missingness.report(gaps.where(fit), columns, C.interaction_order, C.signal, C.redundancy).select("variable", "classification").collect()  # a row for each column
     kinds = {r["variable"]: r["classification"] for r in report}
-    kept = [c for c in A.GAPS if kinds[c] != "Pure Noise"]
+    kept = [c for c in columns if kinds[c] != "Pure Noise"]
     told = [c for c in kept if kinds[c] != "Non-Informative Missingness"]
-    chained = mining.cut(missingness.chained_imputation(missingness.indicators(gaps, told), A.GAPS, 10, fit))
-    sets = {"means": (missingness.impute_mean(gaps, A.GAPS, fit), A.GAPS), "chained": (chained, A.GAPS), "engineered": (chained, [*kept, *(f"{c}_missing" for c in told)])}
+    chained = mining.cut(missingness.chained_imputation(missingness.indicators(gaps, told), columns, 10, fit))
+    sets = {"means": (missingness.impute_mean(gaps, columns, fit), columns), "chained": (chained, columns), "engineered": (chained, [*kept, *(f"{c}_missing" for c in told)])}
     out = []
     for name, (rows, names) in sets.items():
         own = mining.cut(rows.select("l_orderkey", "key", "y", *names))
-        got = missingness.boosted_grid(own.where(fit), own.where(~fit), names, "key", depths=[3, 5], rates=[0.1, 0.3], trees=[4, 8], shares=[0.8, 1.0])
+        got = missingness.boosted_grid(own.where(fit), own.where(~fit), names, "key", depths=(3, 4), rates=(0.1, 0.3), trees=(5, 10), shares=(1.0,))
         out.append((name, len(names), got["depth"], got["rate"], got["trees"], got["share"], *(float(got[k]) for k in ("validation", "auc", "brier", "recall")), [f"{n}={x:.4f}" for n, x in got["importances"]]))
     return spark.createDataFrame(out, "gaps string, features int, depth int, rate double, trees int, share double, validation double, auc double, brier double, recall double, importances array<string>")
+
+
+_BUNDLED = f"""{A.BASKET}, {A.SUPPORT}, keep AS (SELECT case_id, node, y FROM nodes WHERE node LIKE 'F%' OR node LIKE 'T%' OR node = 'Q_HIGH'),
+j AS (SELECT a.node AS a, b.node AS b, count(*) AS n FROM keep AS a JOIN keep AS b ON a.case_id = b.case_id AND a.node < b.node GROUP BY 1, 2),
+jac AS (SELECT j.a, j.b, j.n, CAST(j.n AS DOUBLE) / (x.n + z.n - j.n) AS q FROM j JOIN sup AS x ON x.node = j.a JOIN sup AS z ON z.node = j.b WHERE j.n >= 5 AND CAST(j.n AS DOUBLE) / (x.n + z.n - j.n) >= 0.5)"""
+
+
+def _bundled(spark, d, overlapping: bool):
+    """A miner over types, flags and high quantity, whose similar pairs are bundles of cases that hold both: in a partition of the nodes, or overlapping beside their members."""
+    events = A.basket_events(spark, d).where("node LIKE 'F%' OR node LIKE 'T%' OR node = 'Q_HIGH'")
+    cases = A.cases(spark, d)
+    present = sequences.atoms(events, 1)
+    whole = mining.totals(cases).first()
+    nodes = events.select("case_id", "node").distinct().join(cases, "case_id")
+    similar = mining.jaccard(mining.with_margins(mining.pair_counts(nodes), nodes, cases), C.min_cooccurrence, 0.5)
+    chosen = mining.overlapping_bundles(similar) if overlapping else mining.bundles(similar).join(similar, ["a", "b"])
+    rows = chosen.select("a", "b", "n_ab").orderBy("a", "b").collect()  # pairs of codes
+    floor = sequences.support_floor(whole["total"], C.support, C.min_support)
+    built = sequences.build_nodes(present, whole["total"], floor, 2.0, [(r["a"], r["b"], r["n_ab"]) for r in rows], keep_members=overlapping)
+    return sequences.Miner(present, cases, built, whole["total"], whole["positives"], floor, C.chi2_critical)
+
+
+def _mined_bundles(bundles: str, members: str) -> str:
+    """Pairs of nodes, bundles among them, that pass the floor, the thresholds and the logic gate (no node beside itself)."""
+    return f"""WITH {_BUNDLED}, {bundles}, bn AS (SELECT 'BUNDLE_' || a || '_' || b AS name, a, b FROM bun), held AS (SELECT case_id, node AS name, y FROM keep {members} UNION ALL SELECT x.case_id, bn.name, x.y FROM bn JOIN keep AS x ON x.node = bn.a JOIN keep AS z ON z.node = bn.b AND z.case_id = x.case_id),
+m AS (SELECT name, count(*) AS n FROM held GROUP BY name HAVING count(*) >= (SELECT greatest(3, floor(total * 0.005)) FROM tot)), c AS (SELECT x.name AS s1, z.name AS s2, count(*) AS n, sum(x.y) AS pos FROM held AS x JOIN held AS z ON x.case_id = z.case_id AND x.name <> z.name GROUP BY 1, 2),
+r AS (SELECT s1, s2, c.n, pos, CAST(c.n AS DOUBLE) / p.n - CAST(c.n AS DOUBLE) / q.n AS diff, (CAST(c.n AS DOUBLE) / p.n - CAST(q.n AS DOUBLE) / total) / (CAST(q.n AS DOUBLE) / total) AS markov, greatest(CAST(positives AS DOUBLE) / total, 0.0001) AS base FROM c JOIN m AS p ON p.name = s1 JOIN m AS q ON q.name = s2 CROSS JOIN tot WHERE c.n >= greatest(3, floor(total * 0.005)))
+SELECT s1 || ' > ' || s2 AS seq, n, CAST(pos AS BIGINT) AS pos, round(diff, 6) AS diff, round(markov, 6) AS markov FROM r WHERE diff >= 0.02 AND abs(markov) >= 0.01"""
+
+
+_GREEDY = """bun0 AS (SELECT list({a: a, b: b} ORDER BY q DESC, a, b) AS l FROM jac),
+bun AS (SELECT unnest(list_reduce(list_prepend({u: []::VARCHAR[], k: []::STRUCT(a VARCHAR, b VARCHAR)[], p: NULL::STRUCT(a VARCHAR, b VARCHAR)}, list_transform(l, lambda x: {u: []::VARCHAR[], k: []::STRUCT(a VARCHAR, b VARCHAR)[], p: x})),
+lambda s, x: CASE WHEN list_has_any(s.u, [x.p.a, x.p.b]) THEN s ELSE {u: list_concat(s.u, [x.p.a, x.p.b]), k: list_append(s.k, x.p), p: x.p} END).k, recursive := true) FROM bun0)"""
+
+
+@query(_mined_bundles(_GREEDY, "ANTI JOIN (SELECT a AS node FROM bun UNION SELECT b FROM bun) USING (node)"))
+def mined_bundles(spark, d):
+    """Pairs mined over nodes of which similar ones are bundled, the best first, each once; members leave the nodes. Thresholds are lower than by default, as hardly any pair of so few nodes passes those."""
+    found = _bundled(spark, d, False).mine(2, 0.02, 0.01)
+    return found.select(F.array_join("seq", " > ").alias("seq"), "n", "pos", *_r("diff", "markov"))
+
+
+@query(_mined_bundles("bun AS (SELECT a, b FROM jac)", ""))
+def overlapping_bundles(spark, d):
+    """The same with every similar pair a bundle beside its members, as in the oldest variant."""
+    found = _bundled(spark, d, True).mine(2, 0.02, 0.01)
+    return found.select(F.array_join("seq", " > ").alias("seq"), "n", "pos", *_r("diff", "markov"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -275,8 +276,12 @@ def subsequence_match(spark, d):
     return temporal.traces(e, "case_id", "code", ["day", "slot"]).select("case_id", temporal.contains(F.col("trace"), [a, b, a]).alias("found"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {A.DATED}, e AS (SELECT case_id, code, row_number() OVER (PARTITION BY case_id ORDER BY day, slot) AS i FROM dated), fl AS (SELECT ceil(0.05 * count(DISTINCT case_id)) AS least FROM dated),
+g AS (SELECT code AS p, 1 AS k, case_id, min(i) AS i FROM e GROUP BY 1, 3 QUALIFY count(*) OVER (PARTITION BY p) >= (SELECT least FROM fl)
+UNION ALL SELECT p, k, case_id, i FROM (SELECT g.p || ',' || e.code AS p, any_value(g.k) + 1 AS k, e.case_id, min(e.i) AS i FROM g JOIN e ON e.case_id = g.case_id AND e.i > g.i GROUP BY 1, 3) QUALIFY count(*) OVER (PARTITION BY p) >= (SELECT least FROM fl))
+SELECT p AS pattern, count(*) AS freq FROM g WHERE k > 1 GROUP BY p ORDER BY freq DESC, p LIMIT 500""")
 def prefixspan(spark, d):
+    """Frequent subsequences of two codes or more, of any length."""
     return models.frequent_sequences(temporal.traces(A.dated(spark, d), "case_id", "code", ["day", "slot"]), 0.05, most=C.prune)
 
 
@@ -403,6 +408,21 @@ def bernoulli_nb(spark, d):
     return _named(models.bernoulli_nb(wide, [f"v{i}" for i in range(len(values))], "y"), values)
 
 
-@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+_WINDOWS = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query(_WINDOWS)
 def event_windows(spark, d):
     return timelines.windowed_counts(A.table(spark, d, "events"), "ts", "event_type")
+
+
+@query(_WINDOWS)
+def event_windows_streamed(spark, d):
+    """The same from a stream over the table, with its state in a checkpoint."""
+    mining.checkpoint_dir(spark)
+    top = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    path = f"{d}/events.parquet"
+    kind = dict(spark.read.parquet(path).dtypes)["ts"]  # streams take times with a zone only
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    kept = timelines.kept_up(timelines.windowed_counts(events, "ts", "event_type"), f"{top}/out", f"{top}/state")
+    return kept.withColumn("start", F.col("start").cast(kind))
