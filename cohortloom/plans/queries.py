@@ -422,7 +422,7 @@ def event_windows_streamed(spark, d):
     mining.checkpoint_dir(spark)
     top = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     path = f"{d}/events.parquet"
-    kind = dict(spark.read.parquet(path).dtypes)["ts"]  # streams take times with a zone only
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    kind = dict(spark.read.parquet(path).dtypes)["ts"]  # streams take times with a zone only, and a single file only by a pattern
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     kept = timelines.kept_up(timelines.windowed_counts(events, "ts", "event_type"), f"{top}/out", f"{top}/state")
     return kept.withColumn("start", F.col("start").cast(kind))
