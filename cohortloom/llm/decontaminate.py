@@ -18,30 +18,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, PUNCT, Words, adding, ngram_hashes, packed, sequence_hashes, signed, slices
+from ._text import LOWER, PUNCT, Words, adding, cut, ngram_hashes, packed, sequence_hashes, signed, slices
 
 GRAMS = 200_000
 _FILTER = (1 << 20) - 1
 
 
 def _grams(size: int):
-    """The windows of items: item, number of words, hash and words."""
+    """The windows of items: item, number of words, hash and words. The words of a slice are hashed and joined once; a window is a cut of them."""
 
     def run(batches):
         for batch in batches:
             for rows, data, at in slices(batch):
                 data = LOWER[data]
-                words, raw = Words(data, at, PUNCT), data.tobytes()
-                hashes, ids = words.hashes(), rows.column("item_id").cast(pa.string()).to_pylist()
-                out = {"item": [], "n": [], "h": [], "words": []}
-                for i, count in enumerate(words.counts.tolist()):
-                    n, base = min(size, count), int(words.doc[i])
-                    for low in range(base, base + count - n + 1 if n else base):
-                        out["item"].append(ids[i])
-                        out["n"].append(n)
-                        out["h"].append(int(signed(sequence_hashes(hashes, np.array([low]), np.array([low + n])))[0]))
-                        out["words"].append(b" ".join(raw[words.starts[j] : words.ends[j]] for j in range(low, low + n)).decode())
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item", pa.string()), ("n", pa.int32()), ("h", pa.int64()), ("words", pa.string())]))
+                words = Words(data, at, PUNCT)
+                hashes, ids = words.hashes(), rows.column("item_id").cast(pa.string())
+                n = np.minimum(size, words.counts)
+                many = np.where(n > 0, words.counts - n + 1, 0)  # windows of each item
+                item = np.repeat(np.arange(len(many)), many)
+                low = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many) + words.doc[item]
+                high = low + n[item]
+                lengths = words.ends - words.starts
+                begin = np.concatenate(([0], np.cumsum(lengths + 1)))
+                inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                joined = np.full(begin[-1], 0x20, np.uint8)
+                joined[inner + np.repeat(begin[:-1], lengths)] = data[inner + np.repeat(words.starts, lengths)]
+                raw = joined.tobytes()
+                texts = [raw[i:j] for i, j in zip(begin[low].tolist(), (begin[high] - 1).tolist(), strict=True)]
+                columns = [ids.take(pa.array(item)), pa.array(n[item].astype(np.int32)), pa.array(signed(sequence_hashes(hashes, low, high))), pa.array(texts, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["item", "n", "h", "words"])
 
     return run
 
@@ -129,6 +134,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, grams:
     without its runs of hit words, null where there are none (the text stays as it is)."""
     spark, bound = docs.sparkSession, GRAMS if grams is None else grams
     table = benchmark.select("item_id", "text").mapInArrow(_grams(size), "item string, n int, h long, words string").distinct()
+    table = cut(table)  # counted, and read by each pass
     passes = max(1, -(-table.count() // max(1, bound // 2)))  # half as many windows as fit on average: blocks are dealt by hash
     block = lambda i: spark.sparkContext.broadcast(GramSet(table.where(F.pmod(F.xxhash64("h"), F.lit(passes)) == i).toLocalIterator()))
     added = "n_words long, n_hit long, items array<string>, kept_text string"
