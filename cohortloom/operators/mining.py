@@ -1,7 +1,7 @@
 """Trajectory mining on long (case, node) tables: support, bundles, directed pairs and triples, gates, ranking and inference.
 
 Sets are counted, sequences are scored: every measure is a function of n(S) and n(S and y), so each unordered set is counted once and the orders are
-a projection. Counts come from self-joins on the case, whose cost is that of the pairs within a case; the tables of nodes and of
+a projection. Counts come from the combinations within a case, whose number is their cost; the tables of nodes and of
 candidate sets are small and don't grow with the cases.
 """
 
@@ -39,18 +39,25 @@ def totals(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count("*").alias("total"), F.sum("y").cast("long").alias("positives"))
 
 
+def _combined(nodes: DataFrame, size: int) -> DataFrame:
+    """(y, a, b, ...) of the ordered combinations of the nodes of each case: one row for each, made one after the other from the case's sorted nodes, so that no case meets itself in a join
+    and a long one is only streamed through."""
+    x, names = nodes.groupBy("case_id").agg(F.max("y").alias("y"), F.array_sort(F.collect_set("node")).alias("l")), []
+    for name in "abc"[:size]:
+        x = x.select("y", *names, "l", F.posexplode("l").alias("i", name))
+        names.append(name)
+        x = x.select("y", *names, F.slice("l", F.col("i") + 2, F.size("l")).alias("l"))
+    return x.drop("l")
+
+
 def pair_counts(nodes: DataFrame) -> DataFrame:
     """(a, b, n_ab, pos_ab) of the unordered pairs a < b."""
-    left = nodes.select("case_id", F.col("node").alias("a"), "y")
-    right = nodes.select("case_id", F.col("node").alias("b"))
-    return left.join(right, "case_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_ab"), F.sum("y").cast("long").alias("pos_ab"))
+    return _combined(nodes, 2).groupBy("a", "b").agg(F.count("*").alias("n_ab"), F.sum("y").cast("long").alias("pos_ab"))
 
 
 def triple_counts(nodes: DataFrame) -> DataFrame:
     """(a, b, c, n_abc, pos_abc) of the unordered triples a < b < c."""
-    x = nodes.select("case_id", F.col("node").alias("a"), "y")
-    y, z = (nodes.select("case_id", F.col("node").alias(k)) for k in "bc")
-    return x.join(y, "case_id").where("a < b").join(z, "case_id").where("b < c").groupBy("a", "b", "c").agg(F.count("*").alias("n_abc"), F.sum("y").cast("long").alias("pos_abc"))
+    return _combined(nodes, 3).groupBy("a", "b", "c").agg(F.count("*").alias("n_abc"), F.sum("y").cast("long").alias("pos_abc"))
 
 
 def with_margins(pairs: DataFrame, nodes: DataFrame, cases: DataFrame) -> DataFrame:
@@ -162,11 +169,20 @@ def best_of_sets(scored: DataFrame, steps: list[str], score: str) -> DataFrame:
     return scored.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its row number (1 first) in an order: rows are put in ranges, numbered inside each, and shifted by the sizes of the ranges before."""
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_i", 33))
+    sizes = ranged.groupBy("_range").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    before = sizes.select("_range", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, (F.col("_i") - F.col("_first") + F.col("_before") + 1).cast("int")).drop("_i", "_range", "_first", "_before")
+
+
 def step_up(tests: DataFrame, p: str, order: list[str], alpha: float) -> DataFrame:
-    """Benjamini-Hochberg: rank by p and keep flag for all up to the largest rank i with p <= i / m * alpha. Tests number as candidates do, not cases."""
-    ranked = tests.withColumn("rank", F.row_number().over(Window.orderBy(p, *order))).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    passing = F.max(F.when(F.col(p) <= F.col("rank") / F.col("_m") * alpha, F.col("rank"))).over(Window.partitionBy())
-    return ranked.withColumn("kept", F.col("rank") <= F.coalesce(passing, F.lit(0))).drop("_m")
+    """Benjamini-Hochberg: rank by p and keep flag for all up to the largest rank i with p <= i / m * alpha."""
+    ranked = cut(numbered(tests, [F.col(c) for c in (p, *order)], "rank"))
+    size = ranked.agg(F.count("*").alias("_m"))
+    passing = ranked.crossJoin(F.broadcast(size)).agg(F.max(F.when(F.col(p) <= F.col("rank") / F.col("_m") * alpha, F.col("rank"))).alias("_last"))
+    return ranked.crossJoin(F.broadcast(passing)).withColumn("kept", F.col("rank") <= F.coalesce("_last", F.lit(0))).drop("_last")
 
 
 def path_edges(paths: DataFrame, steps: list[str]) -> DataFrame:

@@ -185,11 +185,12 @@ class Miner:
         tied = chi2(F.col("n"), F.col("n_xy"), F.col("n_zy"), self._n(F.col("y"))) > self.critical
         return t.where(apart & tied).groupBy("y", "z").agg(F.collect_set("x").alias("traps"))
 
-    def mine(self, max_len: int, asymmetry: float = 0.10, markov: float = 0.05, normalized: bool = False, beam: int | None = None) -> DataFrame:
+    def mine(self, max_len: int, asymmetry: float = 0.10, markov: float = 0.05, normalized: bool = False, beam: int | None = None, waived: float | None = None) -> DataFrame:
         """(seq, length, n, pos, diff, markov, lift, power) of the sequences of up to max_len nodes that pass all gates.
 
         Both orders of each supported pair grow, whatever their asymmetry, by every node that passes the logic and the collider gate, as long as the set
-        stays above the floor. `beam` keeps the best that many sequences of a level by power, then by name (older variants; None: all).
+        stays above the floor. `beam` keeps the best that many sequences of a level by power, then by name (older variants; None: all). A node that more
+        than `waived` of the cases hold needs no Markov lift when it extends a sequence (older variants; None: every node does).
         """
         k, total = len(self.nodes), float(self.total)
         name = self._literal([x.name for x in self.nodes])
@@ -206,10 +207,11 @@ class Miner:
         diff = (to - back) / (to + back) if normalized else to - back
         front = cut(self._power(both.withColumn("diff", diff).withColumn("markov", (to - then / total) / (then / total))))
         kept = (F.col("diff") >= asymmetry) & (F.abs("markov") >= markov)
+        grows = kept if waived is None else (F.col("diff") >= asymmetry) & ((F.abs("markov") >= markov) | (self._n(F.element_at("seq", -1)) / total > waived))
         found, length, triples, traps = front.where(kept), 2, None, None
         while length < max_len:
             if beam is not None:
-                front = front.where(kept).orderBy(F.desc("power"), F.array_join(F.transform("seq", lambda i: F.element_at(name, i + 1)), ",")).limit(beam)
+                front = front.where(kept if length == 2 else grows).orderBy(F.desc("power"), F.array_join(F.transform("seq", lambda i: F.element_at(name, i + 1)), ",")).limit(beam)
             if traps is None:
                 with_ = pairs.select("items")
                 some = with_.select(F.col("items")[0].alias("i"), F.col("items")[1].alias("j"))
@@ -232,7 +234,7 @@ class Miner:
             to, back, own = F.col("n") / F.col("n_seq"), F.col("n") / self._n(F.col("z")), self._n(F.col("z")) / total
             diff = (to - back) / (to + back) if normalized else to - back
             front = cut(self._power(grown.withColumn("diff", diff).withColumn("markov", (to - own) / own)).select("n", "pos", "seq", "diff", "markov", "lift", "power"))
-            found, length = found.unionByName(front.where(kept)), length + 1
+            found, length = found.unionByName(front.where(grows)), length + 1
         named = F.transform("seq", lambda i: F.element_at(name, i + 1))
         return found.select(named.alias("seq"), F.size("seq").alias("length"), "n", "pos", "diff", "markov", "lift", "power")
 
@@ -273,6 +275,7 @@ def permuted_null(miner: Miner, found: DataFrame, rounds: int) -> DataFrame:
 def empirical_p(found: DataFrame, null: DataFrame, digits: int = 9) -> DataFrame:
     """found with p_value = (null powers at or above its power + 1) / (null powers + 1). Powers are compared on `digits` decimals, so that equal ones tie."""
     rounded = F.round("power", digits)
+    null = cut(null.groupBy(rounded.alias("power")).agg(F.sum("times").alias("times")))  # read for the values and for the pool
     values = null.select(rounded.alias("v"), "times").unionByName(found.select(rounded.alias("v"), F.lit(0).cast("long").alias("times")))
     upto = ranges.before(cut(values.groupBy("v").agg(F.sum("times").alias("times"))), "v", {"above": "times"}, descending=True)
     counted = upto.select("v", (F.col("above") + F.col("times")).alias("reach"))

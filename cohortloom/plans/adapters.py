@@ -26,6 +26,10 @@ def basket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line"), F.explode(nodes).alias("node")).where("node is not null")
 
 
+#: Nodes that basket_events can give: 25 brands, 6 types, 3 flags and high quantity.
+NODES = [*(f"B_Brand#{i}" for i in range(1, 26)), *(f"T_{t}" for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")), *(f"F_{f}" for f in "ANR"), "Q_HIGH"]
+
+
 def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, node, y), distinct by case and node."""
     return basket_events(spark, sf_dir).select("case_id", "node").distinct().join(cases(spark, sf_dir), "case_id")

@@ -177,9 +177,13 @@ def recurrence_flags(spark, d):
     return r.groupBy(features.occurrence_name(F.col("node"), F.col("occurrence")).alias("node")).agg(F.count("*").alias("cases"))
 
 
-@query(f"WITH {A.BASKET} SELECT case_id, CAST(count(*) FILTER (node = 'F_A') AS INTEGER) AS \"F_A\", CAST(count(*) FILTER (node = 'F_N') AS INTEGER) AS \"F_N\", CAST(count(*) FILTER (node = 'F_R') AS INTEGER) AS \"F_R\", CAST(count(*) FILTER (node = 'Q_HIGH') AS INTEGER) AS \"Q_HIGH\" FROM nodes GROUP BY case_id")
+_FLAGS = ", ".join(f"CAST(count(*) FILTER (node = '{n}') AS INTEGER) AS \"{n}\"" for n in A.NODES)
+
+
+@query(f"WITH {A.BASKET} SELECT case_id, {_FLAGS} FROM nodes GROUP BY case_id")
 def onehot_presence(spark, d):
-    return features.onehot(A.basket(spark, d), "case_id", "node", ["F_A", "F_N", "F_R", "Q_HIGH"])
+    """All nodes of the adapter as columns."""
+    return features.onehot(A.basket(spark, d), "case_id", "node", A.NODES)
 
 
 _DIRTY = "l_orderkey AS k, CASE WHEN l_partkey % 7 = 0 THEN 'nan' ELSE '''' || ' x.' || l_partkey || ' ' END AS raw"

@@ -107,10 +107,10 @@ def impute_mode(spark, d):
     return missingness.impute_mode(A.gaps(spark, d), ["c_qty"], F.col("l_orderkey") % 10 < 7).select("l_orderkey", "l_linenumber", "c_qty")
 
 
-@query(f"WITH {A.PAIRS} SELECT a || '  --->  ' || CASE WHEN b = 'Q_HIGH' THEN 'High quantity' ELSE b END AS narrative, round(100.0 * n_ab / total, 6) AS percent FROM wide WHERE a LIKE 'T\\_%' ESCAPE '\\'")
+@query(f"WITH {A.PAIRS} SELECT CASE WHEN a = 'Q_HIGH' THEN 'High quantity' ELSE regexp_replace(a, '_R$', ' (Recurrence)') END || '  --->  ' || CASE WHEN b = 'Q_HIGH' THEN 'High quantity' ELSE regexp_replace(b, '_R$', ' (Recurrence)') END AS narrative, round(100.0 * n_ab / total, 6) AS percent FROM wide")
 def narrative_text(spark, d):
-    """Pairs in words with the share of the cases that hold them."""
-    x = _margins(spark, d)[0].where(F.col("a").startswith("T_"))
+    """All pairs in words with the share of the cases that hold them. Names are read by their rule, so the flag F_R is told as a recurrence of F."""
+    x = _margins(spark, d)[0]
     return x.select(T.narrative(F.array("a", "b"), {"Q_HIGH": "High quantity"}, prefix="").alias("narrative"), F.round(100 * F.col("n_ab") / F.col("total"), 6).alias("percent"))
 
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from cohortloom.operators import metrics, missingness, models, ranges, temporal
+from cohortloom.functions import scalars
+from cohortloom.operators import metrics, mining, missingness, models, ranges, sequences, temporal
 
 
 def _rows(seed=1, n=240, k=5):
@@ -222,3 +223,53 @@ def test_reports_choose_columns(spark):
     df = spark.createDataFrame([(1.0, None, 1), (None, 2.0, 0)], "a double, b double, y int")
     told = spark.createDataFrame([("a", "Pure Noise"), ("b", "Isolated Predictive Missingness")], "variable string, classification string")
     assert missingness.without_noise(df, ["a", "b"], told).columns == ["b", "y", "b_missing"]
+
+
+def test_counts_of_combinations(spark):
+    from itertools import combinations
+
+    r = random.Random(9)
+    held = {i: sorted(r.sample("ABCDEFG", r.randint(0, 6))) for i in range(80)}
+    nodes = spark.createDataFrame([(i, n, i % 2) for i, own in held.items() for n in own], "case_id int, node string, y int")
+    for size, count in ((2, mining.pair_counts), (3, mining.triple_counts)):
+        want = {}
+        for i, own in held.items():
+            for c in combinations(own, size):
+                n, pos = want.get(c, (0, 0))
+                want[c] = (n + 1, pos + i % 2)
+        assert {tuple(x[:size]): tuple(x[size:]) for x in count(nodes).collect()} == want
+    assert mining.triple_counts(nodes.limit(0)).count() == 0
+
+
+def test_step_up_in_ranges(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice([0.001, 0.01, 0.02, 0.2, 0.9]) * r.choice([1, 1, r.random()])) for i in range(300)]
+    got = {x["i"]: (x["rank"], x["kept"]) for x in mining.step_up(spark.createDataFrame(rows, "i int, p double").repartition(7), "p", ["i"], 0.05).collect()}
+    order = sorted(rows, key=lambda x: (x[1], x[0]))
+    last = max((k for k, (_, p) in enumerate(order, 1) if p <= k / 300 * 0.05), default=0)
+    assert got == {i: (k, k <= last) for k, (i, _) in enumerate(order, 1)} and 0 < last < 300
+
+
+def test_older_growth(spark):
+    """A beam keeps the best of a level; the Markov gate is waived for nodes that most cases hold; absences without a floor."""
+    r = random.Random(3)
+    rows = [[n for n in "ABCD" if r.random() < {"A": 0.3, "B": 0.5, "C": 0.8, "D": 0.4}[n]] for _ in range(120)]
+    cases = spark.createDataFrame([(i, int("A" in x)) for i, x in enumerate(rows)], "case_id int, y int")
+    present = sequences.atoms(spark.createDataFrame([(i, n) for i, x in enumerate(rows) for n in x], "case_id int, node string"))
+    nodes = sequences.build_nodes(present, 120, 3, None)
+    assert {n.name for n in nodes if n.negated} == {f"NOT_{n}" for n in "ABCD"}
+    miner = sequences.Miner(present, cases, nodes, 120, sum("A" in x for x in rows), 3)
+    plain = {tuple(x["seq"]): x for x in miner.mine(3).collect()}
+    waived = {tuple(x["seq"]): x for x in miner.mine(3, waived=0.5).collect()}
+    of = {n.name: n.n for n in nodes}
+    assert set(plain) <= set(waived) and all(len(s) == 3 and of[s[-1]] > 60 and abs(x["markov"]) < 0.05 <= x["diff"] for s, x in waived.items() if s not in plain)
+    assert len(waived) > len(plain)
+    narrow = [tuple(x["seq"]) for x in miner.mine(3, beam=2).collect()]
+    best = sorted((s for s in plain if len(s) == 2), key=lambda s: (-plain[s]["power"], ",".join(s)))[:2]
+    assert {s[:2] for s in narrow if len(s) == 3} <= set(best) and set(narrow) <= set(plain)
+
+
+def test_blank_and_zeros(spark):
+    df = spark.createDataFrame([("  ",), ("",), ("a ",), ("007",), ("000",)], "s string")
+    assert [x[0] for x in df.select(scalars.blank_to_null(F.col("s"))).collect()][:2] == [None, None]
+    assert [x[0] for x in df.select(scalars.strip_zeros(F.col("s"))).collect()][3:] == ["7", "0"]
