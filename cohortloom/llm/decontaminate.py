@@ -8,7 +8,8 @@ The set is broadcast in blocks of at most GRAMS windows, a bound that doesn't de
 more blocks, each scanned by a pass of its own, and the hits of all passes are put together.
 
 Null texts have no words. Items without words never occur; an item_id that repeats names all of its texts, and a null
-item_id marks hits without being listed. Rows that repeat a doc_id are judged one by one. Empty tables: no hits.
+item_id marks hits without being listed. Rows that repeat a doc_id are judged one by one. A word that several windows cover is hit once, and all their
+items are listed. Very long texts and items are read whole. Other columns stay in the struct `row`, so that none can clash. Empty tables: no hits.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ the other tokens in equal parts, ordered by their last two bytes, then by hash.
   class's mean by SHRINK further ones; without context the bias is log(c + 1). An unknown token counts as one more, without a vector.
 
 Vectors of the most frequent tokens, KNOWN at most, are broadcast; those of the other tokens are joined by hash. Null or empty texts
-have the end token only. Rows that repeat a doc_id are scored one by one. Without training documents all counts are 0.
+have the end token only. Rows that repeat a doc_id are scored one by one, equal texts alike. Very long texts are scored whole. Tokens with
+equal counts are ordered by hash. Other columns aren't read. doc_id is a number. An empty table gives an empty result. Without training documents all counts are 0.
 """
 
 from __future__ import annotations

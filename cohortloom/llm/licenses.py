@@ -11,7 +11,8 @@ Two windows agree in a band only if they share the shingle that has the smallest
 be retrieved; only windows that hold one are hashed. A retrieved template is verified on the words around the window: the share of its distinct
 shingles that occur there is its containment, and it is reported from `least` up.
 
-Null or empty texts and texts of one word have no shingles and no licenses. Rows that repeat a doc_id are scanned together. Hot
+Null or empty texts and texts of one word have no shingles and no licenses. Rows that repeat a doc_id are scanned together. Very long texts are scanned whole, window by window. Of windows
+with the same containment the first is told. Other columns of the documents aren't read. Empty tables, or no templates, give no rows. Hot
 licenses are no hot groups: windows are joined with the few templates by broadcast (a fixed table), and hits are aggregated by document and license.
 """
 

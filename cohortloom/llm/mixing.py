@@ -11,7 +11,8 @@ each document is taken if that brings the words taken nearest to the bin's share
 half of its smallest documents, the largest source is spread over many tasks, and reruns agree.
 
 Sizes are counts of words `[^\\x20\\x09-\\x0D]+`; null and empty texts have size 0 and are taken floor(r) times or once more,
-with no words. Null is a source of its own, last in order. Rows that repeat a doc_id are documents of their own. The
+with no words. Null is a source of its own, last in order. Documents of one size class are taken in seeded order, equal rows as it
+comes. Very long texts are counted whole. `repetitions` reads doc_id, text and source only; other columns can't clash. Rows that repeat a doc_id are documents of their own. The
 table of sources (one row each) is the only thing that one task sees whole. An empty table gives an empty result.
 """
 

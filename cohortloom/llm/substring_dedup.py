@@ -21,7 +21,7 @@ removed. The reference is the corpus itself, cut into indexed blocks:
 Counts of an anchor are made by partial aggregation. Where its rows must meet its count, those of anchors above HEAVY are salted.
 
 Texts: null counts as empty; documents of fewer words than the window keep all. Rows that repeat a doc_id are documents
-of their own (equal rows remove each other's windows, as any copies do). Very long texts are read whole. An empty table gives an empty result. Other columns
+of their own (equal rows remove each other's windows, as any copies do). Of equal windows none is preferred: all go, so there are no ties to break. Very long texts are read whole. An empty table gives an empty result. Other columns
 are carried in the struct `row`, so that none can clash. Hashes have 64 bits; a segment's are compared under an equal 64-bit anchor only.
 """
 
