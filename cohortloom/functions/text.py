@@ -33,3 +33,15 @@ def described(node: Column, names: dict[str, str], prefix: str = "CCSR_") -> Col
 def narrative(nodes: Column, names: dict[str, str], prefix: str = "CCSR_") -> Column:
     """A sequence in words."""
     return F.array_join(F.transform(nodes, lambda n: described(n, names, prefix)), "  --->  ")
+
+
+def thousands(number: Column) -> Column:
+    """A whole number with separators, as 1,234."""
+    return F.format_number(number, 0)
+
+
+def escalation(first: Column, then: Column, outcome: str, before: Column, after: Column, between: Column | None = None) -> Column:
+    """How the risk of an outcome grows from the first node of a sequence to all of them: `between` tells the nodes in the middle, if any."""
+    start = F.concat(first, F.lit(f": {outcome} risk "), percent(before), F.lit(". "))
+    middle = F.lit("") if between is None else F.coalesce(F.concat(F.lit("After "), between, F.lit(", ")), F.lit(""))
+    return F.concat(start, middle, F.lit("with "), then, F.lit(", the risk is "), percent(after), F.lit(" ("), percent(after - before, True), F.lit(")."))

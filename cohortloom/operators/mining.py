@@ -261,3 +261,14 @@ def bundles_in_order(pairs: DataFrame) -> DataFrame:
 def overlapping_bundles(pairs: DataFrame) -> DataFrame:
     """Oldest bundling: every similar pair is a bundle, so bundles share members, and members stay."""
     return pairs.select("a", "b", "n_ab")
+
+
+def score_ratio(pairs: DataFrame, least: int = 10, threshold: float = 1.1) -> DataFrame:
+    """Older form: (src, dst, n_ab, ratio, lift, power) of pairs (with margins) whose conditional probabilities differ by that factor, towards the larger; power is the ratio times the
+    absolute Markov lift. The ratio is that of the margins, so the pair points to the more frequent node."""
+    forward = F.col("n_b") >= F.col("n_a")
+    ratio = F.greatest(F.col("n_b") / F.col("n_a"), F.col("n_a") / F.col("n_b"))
+    given, own = F.col("n_ab") / F.least("n_a", "n_b"), F.greatest("n_a", "n_b") / F.col("total")
+    x = pairs.where((F.col("n_ab") >= least) & (ratio >= threshold))
+    x = x.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("dst"), "n_ab", ratio.alias("ratio"), ((given - own) / own).alias("lift"))
+    return x.withColumn("power", F.col("ratio") * F.abs("lift"))

@@ -135,3 +135,23 @@ SELECT pattern, count(*) AS freq FROM p GROUP BY pattern HAVING count(*) >= ceil
 def prefixspan_pairs(spark, d):
     """Frequent subsequences of two codes."""
     return models.frequent_sequences(temporal.traces(A.dated(spark, d), "case_id", "code", ["day", "slot"]), 0.05, 2)
+
+
+@query(f"""WITH {A.PAIRS}, r AS (SELECT CASE WHEN n_b >= n_a THEN a ELSE b END AS src, CASE WHEN n_b >= n_a THEN b ELSE a END AS dst, n_ab, CAST(greatest(n_a, n_b) AS DOUBLE) / least(n_a, n_b) AS ratio,
+(CAST(n_ab AS DOUBLE) / least(n_a, n_b) - CAST(greatest(n_a, n_b) AS DOUBLE) / total) / (CAST(greatest(n_a, n_b) AS DOUBLE) / total) AS lift FROM wide WHERE n_ab >= 10)
+SELECT src, dst, n_ab, round(ratio, 6) AS ratio, round(lift, 6) AS lift, round(ratio * abs(lift), 6) AS power FROM r WHERE ratio >= 1.1""")
+def pair_ratio_power(spark, d):
+    """Pairs directed by the ratio of their conditional probabilities."""
+    return mining.score_ratio(_margins(spark, d)[0]).select("src", "dst", "n_ab", *_r("ratio", "lift", "power"))
+
+
+@query(f"""WITH {A.PAIRS}, e AS (SELECT a, b, n_ab, CAST(pos AS DOUBLE) / n AS before, CAST(pos_ab AS DOUBLE) / n_ab AS after FROM pairs JOIN sup ON sup.node = a WHERE n_ab >= 5)
+SELECT a || ': finished risk ' || printf('%.1f%%', 100 * before) || '. with ' || b || ', the risk is ' || printf('%.1f%%', 100 * after) || ' (' || printf('%+.1f%%', 100 * (after - before)) || ').' AS sentence, format('{{:,}}', n_ab) AS cases
+FROM e ORDER BY after - before DESC, a, b LIMIT 5""")
+def escalation_text(spark, d):
+    """The five pairs whose second node raises the risk most, as sentences."""
+    nodes = A.basket(spark, d)
+    first = mining.support(nodes).select(F.col("node").alias("a"), "n", "pos")
+    x = mining.pair_counts(nodes).where("n_ab >= 5").join(F.broadcast(first), "a").withColumn("before", F.col("pos") / F.col("n")).withColumn("after", F.col("pos_ab") / F.col("n_ab"))
+    top = x.orderBy((F.col("after") - F.col("before")).desc(), "a", "b").limit(5)
+    return top.select(T.escalation(F.col("a"), F.col("b"), "finished", F.col("before"), F.col("after")).alias("sentence"), T.thousands(F.col("n_ab")).alias("cases"))

@@ -64,15 +64,19 @@ def slots_to_events(df: DataFrame, key: str, code: str, date: str, slots: int) -
 
 
 def synthetic_missingness(spark: SparkSession, rows: int, seed: int = 7) -> DataFrame:
-    """Columns with planted missingness: at random, by another column, and by their own value."""
-    x = spark.range(rows).select("id", (50 + 20 * F.randn(seed)).alias("age"), (27 + 5 * F.randn(seed + 1)).alias("bmi"), (80 + 12 * F.randn(seed + 2)).alias("heart_rate"), (130 + 20 * F.randn(seed + 3)).alias("systolic_bp"), F.rand(seed + 4).alias("u"), F.rand(seed + 5).alias("v"), F.rand(seed + 6).alias("w"), F.rand(seed + 7).alias("z"))
-    x = x.withColumn("outcome", (F.col("z") < 1 / (1 + F.exp(-(F.col("age") - 60) / 10))).cast("int"))
-    return x.select(
-        "id", "age", "outcome",
-        F.when(~((F.col("age") > 80) & (F.col("u") < 0.6)), F.col("bmi")).alias("bmi"),
-        F.when(F.col("v") >= 0.15, F.col("heart_rate")).alias("heart_rate"),
-        F.when(~((F.col("systolic_bp") > 180) & (F.col("w") < 0.75)), F.col("systolic_bp")).alias("systolic_bp"),
-    )
+    """Ten variables, an outcome, and planted missingness: heart_rate and liver at random, bmi by age, pulmonary by chf, systolic_bp by its own value, length_of_stay by the outcome.
+    Comorbidities hang together: chf on age and diabetes, renal failure on blood pressure and chf."""
+    u, n = (lambda i: F.rand(seed + i)), (lambda i, mean, sd: mean + sd * F.randn(seed + i))
+    likely = lambda z: 1 / (1 + F.exp(-z))
+    flag = lambda i, p: (F.col(f"u{i}") < p).cast("int")
+    x = spark.range(rows).select("id", n(0, 60, 18).alias("age"), n(1, 27, 5).alias("bmi"), n(2, 80, 12).alias("heart_rate"), n(3, 130, 20).alias("systolic_bp"), F.exp(n(4, 1.2, 0.8)).alias("length_of_stay"), *(u(10 + i).alias(f"u{i}") for i in range(12)))
+    x = x.withColumn("diabetes", flag(0, 0.25)).withColumn("chf", flag(1, likely((F.col("age") - 70) / 12 + F.col("diabetes") / 2))).withColumn("renal", flag(2, likely((F.col("systolic_bp") - 150) / 30 + F.col("chf"))))
+    x = x.withColumn("pulmonary", flag(3, 0.15)).withColumn("liver", flag(4, 0.05)).withColumn("outcome", flag(5, likely((F.col("age") - 75) / 10 + F.col("chf") + F.col("renal") + F.log("length_of_stay") / 2)))
+    gone = {
+        "heart_rate": F.col("u6") < 0.15, "liver": F.col("u7") < 0.05, "bmi": (F.col("age") > 80) & (F.col("u8") < 0.6), "pulmonary": (F.col("chf") == 1) & (F.col("u9") < 0.45),
+        "systolic_bp": (F.col("systolic_bp") > 160) & (F.col("u10") < 0.75), "length_of_stay": (F.col("outcome") == 1) & (F.col("u11") < 0.8),
+    }
+    return x.select("id", "age", "diabetes", "chf", "renal", "outcome", *(F.when(~when, F.col(c)).alias(c) for c, when in gone.items()))
 
 
 def write_matrix(df: DataFrame, columns: list[str], path: str) -> None:

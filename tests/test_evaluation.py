@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from cohortloom.functions import scalars
+from cohortloom.functions import scalars, text
 from cohortloom.operators import metrics, mining, missingness, models, ranges, sequences, temporal
+from cohortloom.sources import tables
 
 
 def _rows(seed=1, n=240, k=5):
@@ -273,3 +274,20 @@ def test_blank_and_zeros(spark):
     df = spark.createDataFrame([("  ",), ("",), ("a ",), ("007",), ("000",)], "s string")
     assert [x[0] for x in df.select(scalars.blank_to_null(F.col("s"))).collect()][:2] == [None, None]
     assert [x[0] for x in df.select(scalars.strip_zeros(F.col("s"))).collect()][3:] == ["7", "0"]
+
+
+def test_escalation_sentences(spark):
+    df = spark.createDataFrame([("A", "C", "B", 0.1, 0.25), ("A", "C", None, 0.1, 0.05)], "a string, c string, b string, p double, q double")
+    got = [x[0] for x in df.select(text.escalation(F.col("a"), F.col("c"), "death", F.col("p"), F.col("q"), F.col("b"))).collect()]
+    assert got == ["A: death risk 10.0%. After B, with C, the risk is 25.0% (+15.0%).", "A: death risk 10.0%. with C, the risk is 5.0% (-5.0%)."]
+    assert spark.range(1).select(text.thousands(F.lit(1234567))).first()[0] == "1,234,567"
+
+
+def test_planted_ten_variables(spark):
+    """The report finds what was planted: gaps that tell the outcome, and gaps that tell nothing."""
+    x = tables.synthetic_missingness(spark, 4000).withColumnRenamed("outcome", "y")
+    columns = ["age", "bmi", "heart_rate", "systolic_bp", "length_of_stay", "diabetes", "chf", "renal", "pulmonary", "liver"]
+    told = {r["variable"]: r for r in missingness.report(x, columns, 2).collect()}
+    assert set(told) == set(columns)
+    assert told["length_of_stay"]["missing_ig"] > 0.3 and told["length_of_stay"]["classification"] != "Pure Noise"
+    assert told["heart_rate"]["missing_ig"] < 0.01 and told["liver"]["missing_ig"] < 0.01 and told["age"]["missing_ig"] == 0 and told["age"]["baseline_ig"] > 0.05
