@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, metrics, mining, missingness, models, sequences, temporal
 from . import adapters as A
-from .queries import C, _margins, _r, query
+from .queries import C, SQL, _margins, _r, query
 from .trajectories import _MINE, _SPLIT, _miner
 
 #: The search space: sizes of the set of sequences, and inverse penalties.
@@ -318,3 +318,7 @@ def overlapping_bundles(spark, d):
     """The same with every similar pair a bundle beside its members, as in the oldest variant."""
     found = _bundled(spark, d, True).mine(2, 0.02, 0.01)
     return found.select(F.array_join("seq", " > ").alias("seq"), "n", "pos", *_r("diff", "markov"))
+
+
+SQL["jaccard_bundles"] = f"""WITH {A.PAIRS}, jac AS (SELECT a, b, CAST(n_ab AS DOUBLE) / (n_a + n_b - n_ab) AS q FROM wide WHERE n_ab >= 5 AND CAST(n_ab AS DOUBLE) / (n_a + n_b - n_ab) >= 0.5), {_GREEDY}
+SELECT 'BUNDLE_' || a || '_' || b AS bundle, a, b FROM bun"""
