@@ -60,7 +60,11 @@ def build_nodes(present: DataFrame, total: int, floor: int, negative_floor: floa
     NOT_x exists where x has at least `negative_floor` of the cases (None: always); the absence of a recurrence is that of cases which have its base, without
     such a test. Bundles have no absence. The list is bounded by the codes, not by the cases.
     """
-    counts = present.groupBy("atom", "base", "occurrence").agg(F.count("*").alias("n")).orderBy("atom").collect()
+    every = present.groupBy("atom", "base", "occurrence").agg(F.count("*").alias("n"))
+    bases = every.where("occurrence = 1").select("base", F.col("n").alias("base_n"))
+    # Rare codes stay in Spark: an atom is needed for itself, or for its absence.
+    wanted = F.lit(True) if negative_floor is None else (F.col("n") >= floor) | (F.col("n") >= negative_floor * total) | ((F.col("occurrence") > 1) & (F.col("base_n") - F.col("n") >= floor))
+    counts = every.join(bases, "base").where(wanted).orderBy("atom").collect()
     of = {r["atom"]: r["n"] for r in counts}
     members = set() if keep_members else {x for a, b, _ in bundled for x in (a, b)}
     nodes = [Node(r["atom"], r["base"], (r["atom"],), (), r["n"]) for r in counts if r["atom"] not in members]

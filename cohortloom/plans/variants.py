@@ -17,9 +17,12 @@ from .queries import _PLACED, C, _margins, _r, query
 def _asked(spark, d):
     """Ordered pairs of the event types, alone and with each third type absent; total: cases with the first code."""
     e = A.dated(spark, d)
-    codes = sorted(r[0] for r in e.select("code").distinct().collect())  # event types: a handful
-    names = [f"SEQ_{a}_TO_{b}" for a in codes for b in codes if a != b] + [f"SEQ_{a}_TO_NOT_{c}_TO_{b}" for a in codes for b in codes for c in codes if len({a, b, c}) == 3]
-    table = temporal.parsed(spark.createDataFrame([(n,) for n in names], "name string"))
+    codes = mining.cut(e.select("code").distinct())
+    a, b, c = (codes.select(F.col("code").alias(x)) for x in "abc")
+    pairs = a.join(b, F.col("a") != F.col("b"))
+    name = lambda *parts: F.concat(F.lit("SEQ_"), *(x for i, p in enumerate(parts) for x in ((F.lit("_TO_"), p) if i else (p,)))).alias("name")
+    third = pairs.join(c, (F.col("c") != F.col("a")) & (F.col("c") != F.col("b")))
+    table = temporal.parsed(pairs.select(name(F.col("a"), F.col("b"))).unionByName(third.select(name(F.col("a"), F.concat(F.lit("NOT_"), "c"), F.col("b")))))
     sizes = e.select("case_id", "code").distinct().groupBy("code").agg(F.count("*").alias("total"))
     return table.withColumn("code", F.col("needs")[0][0]).join(sizes, "code").drop("code")
 
