@@ -1,15 +1,15 @@
 """Toxicity: a bidirectional GRU with attention pooling over character and word inputs, trained and run in numpy.
 
 Words `[^\\x20\\x09-\\x0D]+` are lower-cased (A-Z). A word's input is its vector by a hash to 2**15 places beside the mean of the vectors of its byte 4-grams
-(hashed to 2**15 places; the word is framed). A place of no labelled document counts as place 0; log-odds of rare ones are shrunk. All windows of WINDOW words, one every STEP words, are scored: gated recurrences in both
-directions, attention over the words of the window, one logit. A document's score is that of its largest window.
+(hashed to 2**15 places; the word is framed). A place of no labelled document counts as place 0; log-odds of rare ones are shrunk. All overlapping windows of WINDOW words, one from every word that has WINDOW - 1
+behind it (a shorter text is one window), are scored: gated recurrences in both directions, attention over the words of the window, one logit. A document's score is that of its largest window.
 
 Labels say which documents are toxic, not where, so learning is multi-instance: the vectors start with the log-odds of words and 4-grams among
 labelled documents, a toxic document stands for its window of largest evidence - later, of largest logit -, clean documents for their largest
 and for random windows, and all weights and vectors are trained by backpropagation. At most SAMPLE documents of each label are learned from.
 
 Null or empty texts have one empty window. Without labels of both kinds every score is 0.5. Rows that repeat are scored one by one, equal texts alike; of rows
-that repeat a doc_id one text is learned from. Very long texts have all their windows scored, in slices. Ties between windows change nothing. An empty table gives an
+that repeat a doc_id one text is learned from. Very long texts have all their windows scored, CHUNK at a time. Ties between windows change no score; in learning, lots decide between them. An empty table gives an
 empty result. Other columns stay in the struct `row`, so that none can clash.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from ._text import LOWER, Words, adding, mix, packed, slices, word_hashes
 from .labelled import Adam, sample_labels, sigmoid
 
-SAMPLE, WINDOW, STEP = 1500, 16, 8
+SAMPLE, WINDOW, CHUNK = 1500, 16, 4096
 WORDS, GRAMS = 1 << 15, 1 << 15
 WIDTH, UNITS, ROUNDS, EPOCHS = 4, 8, 2, 4
 
@@ -45,14 +45,25 @@ class Tokens:
         next_ = np.where(inside < np.repeat(size, size) - 2, data[np.minimum(byte + 2, max(0, len(data) - 1))] if len(data) else 0, 3).astype(np.uint64)
         codes = (left << np.uint64(24)) | (data[byte].astype(np.uint64) << np.uint64(16)) | (right << np.uint64(8)) | next_
         self.grams = (mix(codes) >> np.uint64(40)).astype(np.int64) % GRAMS
-        # Windows: as many as cover a text, one at least.
-        counts = np.maximum(1, -(-(np.maximum(words.counts, 1) - (WINDOW - STEP)) // STEP))
-        self.doc = np.repeat(np.arange(len(counts)), counts)
+        # Windows: one from each word with WINDOW - 1 behind it, one at least.
+        counts = np.maximum(1, words.counts - (WINDOW - 1))
+        self.doc, self.word_doc = np.repeat(np.arange(len(counts)), counts), np.repeat(np.arange(len(counts)), words.counts)
         self.of = np.concatenate(([0], np.cumsum(counts)))
-        start = words.doc[self.doc] + STEP * (np.arange(len(self.doc)) - self.of[self.doc])
-        place = start[:, None] + np.arange(WINDOW)
-        self.mask = place < words.doc[self.doc + 1][:, None]
-        self.windows = np.where(self.mask, self.ids[np.minimum(place, max(0, len(self.ids) - 1))] if len(self.ids) else 0, 0)
+        self.start = words.doc[self.doc] + np.arange(len(self.doc)) - self.of[self.doc]
+        self.end = np.minimum(self.start + WINDOW, words.doc[self.doc + 1])
+
+    def windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words of some windows, and which of their places hold one."""
+        place = self.start[rows, None] + np.arange(WINDOW)
+        mask = place < self.end[rows, None]
+        return np.where(mask, self.ids[np.minimum(place, max(0, len(self.ids) - 1))] if len(self.ids) else 0, 0), mask
+
+    def largest(self, values: np.ndarray) -> np.ndarray:
+        """Of each window the largest value of its words; -9 without words."""
+        padded, out = np.concatenate([values, np.full(WINDOW, -9, values.dtype)]), np.full(len(self.start), -9, values.dtype)
+        for t in range(WINDOW):
+            np.maximum(out, np.where(self.start + t < self.end, padded[self.start + t], -9), out=out)
+        return out
 
     def known(self, words: np.ndarray, grams: np.ndarray) -> None:
         """Places that aren't marked become place 0."""
@@ -127,7 +138,7 @@ class Network:
         return pooled @ p["o"] + p["c"], (fc, bc, s, u, a, pooled) if keep else None
 
     def gradient(self, tokens: Tokens, rows: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, ids, mask = self.p, tokens.windows[rows], tokens.mask[rows]
+        p, (ids, mask) = self.p, tokens.windows(rows)
         used, ids = np.unique(ids, return_inverse=True)
         ids = ids.reshape(mask.shape)
         x = tokens.inputs(p, used)
@@ -154,15 +165,55 @@ class Network:
             np.add.at(grad["g"], tokens.grams[at], np.repeat(dx[:, WIDTH:] / size[:, None], size, axis=0))
         return grad
 
+    def sliding(self, gates: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+        """The logits of the windows from every word but the last WINDOW - 1; gates: of the distinct words, forward and backward. Values lie by
+        unit, then window, so that a step of all windows is a shifted view, and a chunk stays in the cache."""
+        p, n = self.p, len(ids) - WINDOW + 1
+        states = np.empty((WINDOW, 2 * UNITS, n), np.float32)
+        for k, side in enumerate("fb"):
+            g, wh = np.ascontiguousarray(gates[k][ids].T), p[side + "h"].T
+            np.clip(-g[: 2 * UNITS], -80, 80, out=g[: 2 * UNITS])  # beyond, a gate is 0 or 1 in any case
+            both, last = -wh[: 2 * UNITS], np.ascontiguousarray(wh[2 * UNITS :])
+            h = np.zeros((UNITS, n), np.float32)
+            for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
+                zr = both @ h
+                zr += g[: 2 * UNITS, t : t + n]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                new = last @ (zr[UNITS:] * h)
+                new += g[2 * UNITS :, t : t + n]
+                np.tanh(new, out=new)
+                new -= h
+                new *= zr[:UNITS]
+                h = np.add(h, new, out=states[t, k * UNITS : (k + 1) * UNITS])
+        u = np.matmul(np.ascontiguousarray(p["aw"].T), states)
+        u += p["ab"][:, None]
+        e = p["av"] @ np.tanh(u, out=u)
+        e = np.exp(e - e.max(0))
+        return (e * (p["o"] @ states)).sum(0) / e.sum(0) + p["c"]
+
     def logits(self, tokens: Tokens) -> np.ndarray:
-        x = tokens.inputs(self.p, np.arange(len(tokens.places)))
-        return np.concatenate([self.forward(x, tokens.windows[i : i + 16384], tokens.mask[i : i + 16384])[0] for i in range(0, len(tokens.windows), 16384)])
+        """Of every window."""
+        x, n = tokens.inputs(self.p, np.arange(len(tokens.places))), len(tokens.ids)
+        gates = [x @ self.p[side + "x"] + self.p[side + "c"] for side in "fb"]
+        full = tokens.end - tokens.start == WINDOW
+        out, short = np.empty(len(full), np.float32), np.flatnonzero(~full)
+        for low in range(0, len(short), CHUNK):
+            out[short[low : low + CHUNK]] = self.forward(x, *tokens.windows(short[low : low + CHUNK]))[0]
+        full = np.flatnonzero(full)
+        start = tokens.start[full]
+        for low in range(0, n, CHUNK):
+            i, j = np.searchsorted(start, (low, low + CHUNK))
+            if i < j:
+                out[full[i:j]] = self.sliding(gates, tokens.ids[low : low + CHUNK + WINDOW - 1])[start[i:j] - low]
+        return out
 
 
 def _log_odds(tokens: Tokens, y: np.ndarray, places: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Of documents that hold a place, toxic against clean, and whether it is known; places belong to the distinct words in owner."""
     n = len(tokens.places)
-    doc, word = np.divmod(np.unique(np.repeat(tokens.doc, WINDOW)[tokens.mask.ravel()] * n + tokens.windows[tokens.mask]), max(1, n))
+    doc, word = np.divmod(np.unique(tokens.word_doc * n + tokens.ids), max(1, n))
     order = np.argsort(owner, kind="stable")
     at = np.searchsorted(owner[order], np.arange(n + 1))
     count = np.diff(at)[word]
@@ -189,10 +240,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE)
     net.known = known_words, known_grams
     tokens.known(*net.known)
     evidence = tokens.inputs(net.p, np.arange(len(tokens.places)))
-    merit = np.where(tokens.mask, evidence[tokens.windows][:, :, 0] + evidence[tokens.windows][:, :, WIDTH], -9).max(1)
+    merit = tokens.largest((evidence[:, 0] + evidence[:, WIDTH])[tokens.ids] if len(tokens.ids) else np.zeros(0, np.float32))
     adam = Adam(net.p, 0.01)
     for _ in range(ROUNDS):
-        order = np.lexsort((merit, tokens.doc))
+        order = np.lexsort((rng.random(len(merit)), merit, tokens.doc))
         top = order[tokens.of[1:] - 1]
         some = [tokens.of[:-1] + rng.integers(0, np.diff(tokens.of)) for _ in range(3)]
         rows_ = np.concatenate([top, *(s[y == 0] for s in some)])

@@ -18,7 +18,7 @@ def test_recurrent_network_gradient():
     tokens = _tokens(["you are a kind person and this is fine", "bad words here bad", "x", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"])
     net = toxicity.Network(rng.normal(0, 1, toxicity.WORDS).astype(np.float32), rng.normal(0, 1, toxicity.GRAMS).astype(np.float32))
     tokens.known(np.ones(toxicity.WORDS, bool), np.ones(toxicity.GRAMS, bool))
-    rows = np.arange(len(tokens.windows))
+    rows = np.arange(len(tokens.start))
     y = (np.arange(len(rows)) % 2).astype(float)
 
     def loss():
@@ -38,6 +38,23 @@ def test_recurrent_network_gradient():
         assert (up - down) / (2 * step) == pytest.approx(want, rel=0.03, abs=2e-4), name
 
 
+def test_all_overlapping_windows():
+    """The logits of all windows, made chunk by chunk, are those of each window by itself; short and empty texts are one window."""
+    rng, words = np.random.default_rng(5), [f"w{i}" for i in range(300)]
+    sizes = [0, 1, 15, 16, 17, 0, 40, 5000, 3, 2063, 0]
+    tokens = _tokens([" ".join(rng.choice(words, n)) for n in sizes])
+    assert np.diff(tokens.of).tolist() == [max(1, n - 15) for n in sizes]
+    net = toxicity.Network(rng.normal(0, 1, toxicity.WORDS).astype(np.float32), rng.normal(0, 1, toxicity.GRAMS).astype(np.float32))
+    every = np.arange(len(tokens.start))
+    ids, mask = tokens.windows(every)
+    assert mask.sum(1).max() == 16 and not mask[0].any()
+    want = net.forward(tokens.inputs(net.p, np.arange(len(tokens.places))), ids, mask)[0]
+    assert np.allclose(net.logits(tokens), want, atol=1e-4)
+    value = rng.normal(0, 1, len(tokens.ids)).astype(np.float32)
+    plain = [max((value[i] for i in range(a, b)), default=-9) for a, b in zip(tokens.start, tokens.end, strict=True)]
+    assert tokens.largest(value).tolist() == plain
+
+
 def _risk(f, n, prior):
     """(risk of positives as positives times the prior, the bracket) of logits, the first n of which are positives."""
     soft = lambda x: np.logaddexp(0, x)
