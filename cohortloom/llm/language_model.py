@@ -2,8 +2,8 @@
 noise-contrastive estimation.
 
 Tokens are the lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+` of a text and one end token. The counts of all training tokens are exact and cover all
-training documents. There are about sqrt(V) classes for V distinct tokens: half are the most frequent tokens, each a class of its own, and half share
-the other tokens in equal parts, ordered by their last two bytes, then by hash. A token's probability is P(class | two classes before) * P(token | class, class before):
+training documents. The number of classes grows with the cube root of V for V distinct tokens, so that matrices of classes stay small at any size (V = 10**9: 2,191 classes, 19 MB a matrix): OWN + cbrt(V) of the most
+frequent tokens are a class each, and RARE + cbrt(V) classes share the other tokens in equal parts, ordered by their last two bytes, then by hash. A token's probability is P(class | two classes before) * P(token | class, class before):
 
 * P(class | context) is log-bilinear: the context's class vectors, each times the matrix of its position, predict a vector whose products with the
   class vectors, plus biases, are the scores. Every training token is learned from once: documents are dealt by hash to ROUNDS rounds and, within a
@@ -12,17 +12,17 @@ the other tokens in equal parts, ordered by their last two bytes, then by hash.
   each context position, so the sums of a softmax over all contexts are one matrix product.
 * P(token | class, class before) has a vector and a bias for every token of the class: the softmax of bias + vector * context vector, where the context vectors
   come from the class model. Vectors are fitted in closed form (linear discriminants) from the contexts of all occurrences of the token, drawn to the
-  class's mean by SHRINK further ones; without context the bias is log(c + 1). An unknown token counts as one more, without a vector.
+  class's mean by SHRINK further ones; without context the bias is log(c + 1). An unknown token counts as one more, without a vector. A fit takes
+  sums only - of context vectors by token, of contexts by class, of exponentials by class and context - each merged before it is shuffled, so no class is held in one task.
 
 Vectors of the most frequent tokens, KNOWN at most, are broadcast; those of the other tokens are joined by hash. Null or empty texts
-have the end token only. Rows that repeat a doc_id are scored one by one, equal texts alike. Very long texts are scored whole. Tokens with
-equal counts are ordered by hash. Other columns aren't read. doc_id is a number. An empty table gives an empty result. Without training documents all counts are 0.
+have the end token only; a null doc_id is kept. Rows that repeat a doc_id are scored one by one, equal texts alike. Very long texts are scored whole. Tokens with
+equal counts are ordered by hash. Other columns aren't read. doc_id keeps its type. An empty table gives an empty result. Without training documents all counts are 0.
 """
 
 from __future__ import annotations
 
 import uuid
-from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._text import Words, cut, mix, row_key, signed, slices
 
-#: Least numbers of tokens with a class of their own and of shared classes; both grow with the vocabulary.
+#: Numbers of tokens with a class of their own and of shared classes for the smallest vocabularies.
 OWN, RARE, KNOWN = 159, 32, 200_000
 CLASSES, WIDTH = 1 + OWN + RARE, 12
 BATCH, NOISE, RATE = 1024, 24, 0.1
@@ -114,7 +114,8 @@ class Vocabulary:
     @staticmethod
     def sizes(v: int) -> tuple[int, int]:
         """Tokens with a class of their own and shared classes for v distinct tokens."""
-        return max(OWN, isqrt(v) // 2), max(RARE, isqrt(v) // 2)
+        more = round(v ** (1 / 3))
+        return OWN + more, RARE + more
 
     def look_up(self, hashes: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and count of each token; -1 is the count of a token of a shared class."""
@@ -305,21 +306,23 @@ def train_classes(learned: DataFrame, vocabulary: Vocabulary, noise: np.ndarray)
     return model
 
 
-def _seen_after(shared):
-    """How often each token of a shared class comes after each class."""
+_SUMS = [f"s{d}" for d in range(WIDTH)]
+
+
+def _moments(shared):
+    """For the tokens of shared classes: lines of tokens (i: -1) with their number and the sum of their context vectors, and lines of
+    classes with the number of tokens after each class i. Tokens are merged PART at a time, classes over the whole task."""
 
     def run(batches):
-        vocabulary, parts, held = shared.value, [], 0
+        vocabulary, near = shared.value
+        first_shared, parts, held = 1 + vocabulary.own, [], 0
+        after = np.zeros((vocabulary.shared, vocabulary.size), np.int64)
 
         def flush():
-            h, c, i, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            order = np.lexsort((i, h))
-            h, c, i, n = h[order], c[order], i[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]))))
-            return h[first], c[first], i[first], np.add.reduceat(n, first)
-
-        def out(h, c, i, n):
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(signed(h)), pa.array(i.astype(np.int32)), pa.array(n)], ["c", "h", "i", "n"])
+            h, c, i = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            words, first, at = np.unique(h, return_index=True, return_inverse=True)
+            sums = [pa.array(np.bincount(at, near[i, d], len(words))) for d in range(WIDTH)]
+            return pa.RecordBatch.from_arrays([pa.array(c[first].astype(np.int32)), pa.array(signed(words)), pa.array(np.full(len(words), -1, np.int32)), pa.array(np.bincount(at, minlength=len(words)).astype(np.int64)), *sums], ["c", "h", "i", "n", *_SUMS])
 
         for batch in batches:
             for _, data, at in slices(batch):
@@ -327,65 +330,107 @@ def _seen_after(shared):
                 classes, counts = vocabulary.look_up(hashes, rare)
                 one, _ = contexts(classes, starts)
                 left = counts < 0
-                parts.append((hashes[left], classes[left], one[left], np.ones(left.sum(), np.int64)))
-                held += left.sum()
-                if held > 2_000_000:
-                    yield out(*flush())
+                np.add.at(after, (classes[left] - first_shared, one[left]), 1)
+                parts.append((hashes[left], classes[left], one[left]))
+                held += int(left.sum())
+                if held > PART:
+                    yield flush()
                     parts, held = [], 0
         if held:
-            yield out(*flush())
+            yield flush()
+        c, i = np.nonzero(after)
+        none = pa.nulls(len(c), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array((c + first_shared).astype(np.int32)), pa.nulls(len(c), pa.int64()), pa.array(i.astype(np.int32)), pa.array(after[c, i]), *[none] * WIDTH], ["c", "h", "i", "n", *_SUMS])
 
     return run
 
 
-def fit_words(x: np.ndarray, h: np.ndarray, i: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the tokens h of a class, each seen n times after class i with context vector x[i]: distinct tokens, counts, vectors with the bias
-    last, and for each context the logarithm of the sum of exp(vector * x + bias) over them and the unknown token."""
-    words, at = np.unique(h, return_inverse=True)
-    count, after = np.bincount(at, n), np.bincount(i, n, len(x))
-    mean = after @ x / after.sum()
+def discriminant(x: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and inverse spread of the context vectors x, each seen as often as `after` says."""
+    total = max(1, after.sum())
+    mean = after @ x / total
     centred = x - mean
-    spread = (centred * after[:, None]).T @ centred / after.sum()
+    spread = (centred * after[:, None]).T @ centred / total
     spread += np.eye(x.shape[1]) * (1e-6 + 0.01 * np.trace(spread) / x.shape[1])
-    off = np.stack([np.bincount(at, n * centred[i, d]) for d in range(x.shape[1])], 1) / (count + SHRINK)[:, None]
-    vectors = np.linalg.solve(spread, off.T).T
-    bias = np.log(count + 1) - 0.5 * (vectors * off).sum(1) - vectors @ mean
-    w = np.concatenate([vectors, bias[:, None]], 1).astype(np.float32)
-    sums, top = np.ones(len(x)), np.zeros(len(x), np.float32)
+    return mean, np.linalg.inv(spread)
+
+
+def word_vectors(n: np.ndarray, sums: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Vectors, with the bias last, of tokens seen n times with these sums of context vectors; mean and inverse are of each token's class."""
+    off = (sums - n[:, None] * mean) / (n + SHRINK)[:, None]
+    vectors = np.einsum("ij,ijk->ik", off, inverse)
+    bias = np.log(n + 1) - ((0.5 * off + mean) * vectors).sum(1)
+    return np.concatenate([vectors, bias[:, None]], 1).astype(np.float32)
+
+
+def exponentials(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each context the sum of exp(vector * x + bias) over some tokens."""
+    out = np.zeros(len(x))
     for low in range(0, len(w), step := max(1, (1 << 21) // len(x))):
         scores = x.astype(np.float32) @ w[low : low + step, :-1].T + w[low : low + step, -1]
-        most = np.maximum(top, scores.max(1))
-        sums = sums * np.exp(top - most) + np.exp(scores - most[:, None]).sum(1)
-        top = most
-    return words, count.astype(np.int64), w, np.log(sums) + top
+        out += np.exp(np.minimum(scores, 600), dtype=np.float64).sum(1)
+    return out
 
 
-def _fit(shared):
-    """A line for each token of a class, and one (n: -1) with the sums of the class by context."""
+def _vectors(shared):
+    def run(batches):
+        first_shared, mean, inverse = shared.value
+        for batch in batches:
+            c = np.asarray(batch.column("c")) - first_shared
+            sums = np.stack([np.asarray(batch.column(x)) for x in _SUMS], 1)
+            w = word_vectors(np.asarray(batch.column("n")), sums, mean[c], inverse[c])
+            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(w) + 1) * (WIDTH + 1)).astype(np.int32)), pa.array(w.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("h"), batch.column("n"), lists], ["c", "h", "n", "w"])
 
-    def run(key, table):
-        h, i, n = (np.asarray(table.column(c).combine_chunks()) for c in "hin")
-        words, count, w, z = fit_words(shared.value, h, i, n)
-        c = pa.array(np.full(len(words) + 1, key[0].as_py(), np.int32))
-        edges = np.concatenate((np.arange(len(w) + 1) * w.shape[1], [w.size + len(z)])).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate((w.ravel(), z.astype(np.float32)))))
-        return pa.table({"c": c, "h": pa.array(np.append(words, 0)), "n": pa.array(np.append(count, -1)), "w": lists})
+    return run
+
+
+def _exponentials(shared):
+    """The sums of each class of a task's tokens."""
+
+    def run(batches):
+        first_shared, count, near = shared.value
+        sums = np.zeros((count, len(near)))
+        for batch in batches:
+            c, w = np.asarray(batch.column("c")) - first_shared, np.asarray(batch.column("w").flatten()).reshape(-1, WIDTH + 1)
+            order = np.argsort(c, kind="stable")
+            found, first = np.unique(c[order], return_index=True)
+            for k, at in zip(found, np.split(order, first[1:]), strict=True):
+                sums[k] += exponentials(near, w[at])
+        c, i = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array((c + first_shared).astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(sums[c, i])], ["c", "i", "e"])
 
     return run
 
 
+def fit_words(learned: DataFrame, vocabulary: Vocabulary, near: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """The tokens of shared classes (c, h, n, w), and for each class and class before the logarithm of the sum over its tokens and the unknown one."""
+    context, first_shared = learned.sparkSession.sparkContext, 1 + vocabulary.own
+    moments = cut(learned.select("text").mapInArrow(_moments(context.broadcast((vocabulary, near))), ", ".join(("c int, h long, i int, n long", *(f"{x} double" for x in _SUMS)))))
+    after = np.zeros((vocabulary.shared, vocabulary.size))
+    seen = moments.where("i >= 0").groupBy("c", "i").agg(F.sum("n").alias("n")).toPandas()
+    after[seen["c"].to_numpy(np.int64) - first_shared, seen["i"].to_numpy(np.int64)] = seen["n"]
+    fitted = [discriminant(near, a) for a in after]
+    mean, inverse = (np.stack([f[k] for f in fitted]) for k in range(2))
+    each = moments.where("i < 0").groupBy("h").agg(F.min("c").alias("c"), F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in _SUMS))
+    words = cut(each.mapInArrow(_vectors(context.broadcast((first_shared, mean, inverse))), "c int, h long, n long, w array<float>"))
+    sums = words.select("c", "w").mapInArrow(_exponentials(context.broadcast((first_shared, vocabulary.shared, near))), "c int, i int, e double").groupBy("c", "i").agg(F.sum("e").alias("e")).toPandas()
+    z = np.zeros((vocabulary.size, vocabulary.size))
+    z[sums["c"].to_numpy(np.int64), sums["i"].to_numpy(np.int64)] = np.log1p(sums["e"])
+    return words, z.astype(np.float32)
+
+
 class Scorer:
     """The models with the vectors of the most frequent tokens of shared classes."""
 
-    def __init__(self, vocabulary: Vocabulary, model: LogBilinear, top: pa.Table, sums: pa.Table):
+    def __init__(self, vocabulary: Vocabulary, model: LogBilinear, top: pa.Table, z: np.ndarray):
         self.vocabulary, self.model, self.name = vocabulary, model, uuid.uuid4().hex
         h, n, w = (top.column(c).combine_chunks() for c in ("h", "n", "w"))
         hashes = np.asarray(h).view(np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], np.asarray(n)[order]
         self.w = np.asarray(w.flatten()).reshape(-1, WIDTH + 1)[order]
-        self.z = np.zeros((vocabulary.size, vocabulary.size), np.float32)
-        self.z[np.asarray(sums.column("c"))] = np.asarray(sums.column("w").combine_chunks().flatten()).reshape(-1, vocabulary.size)
+        self.z = z
 
     def score(self, data: np.ndarray, at: np.ndarray):
         """Of each token its hash, the class before, the count (-1: to be joined), and its log10 probability, without the token's own score where it is to be joined."""
@@ -430,7 +475,7 @@ def _score(shared):
                     pa.array(np.concatenate((keys, signed(left[first])))),
                     pa.array(np.concatenate((np.zeros(n, np.int32), tf.astype(np.int32)))),
                     pa.array(np.concatenate((np.zeros(n, np.int32), before[first].astype(np.int32)))),
-                    pa.concat_arrays([rows.column("doc_id").cast(pa.int64()), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([rows.column("doc_id"), pa.nulls(m, rows.schema.field("doc_id").type)]),
                     pa.concat_arrays([pa.array(np.diff(starts).astype(np.int64)), pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([pa.array(sums[2]), pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([pa.array(sums[0]), none]),
@@ -441,7 +486,7 @@ def _score(shared):
     return run
 
 
-_LINES = "k long, h long, tf int, i int, doc_id long, n_tokens long, n_known long, base double, log double"
+_LINES = "k long, h long, tf int, i int, doc_id {}, n_tokens long, n_known long, base double, log double"
 
 
 def _joined(shared):
@@ -462,30 +507,34 @@ def _joined(shared):
     return run
 
 
-def score(docs: DataFrame, train: Column) -> DataFrame:
-    """For each row of docs: doc_id, n_tokens, n_known (tokens that occur in training), train_tokens, base_score (log10 of the add-one unigram
-    probability) and score (the model's log10 probability of the text)."""
-    context = docs.sparkSession.sparkContext
-    learned = docs.where(train).select(row_key().alias("k"), "text")
+def fit(learned: DataFrame) -> tuple[Vocabulary, LogBilinear, DataFrame, np.ndarray]:
+    """Vocabulary, model of classes, and the words in their classes (see `fit_words`), from texts with their keys (k)."""
+    context = learned.sparkSession.sparkContext
     counts = cut(learned.select("text").mapInArrow(_count, "h long, rare int, n long").groupBy("h").agg(F.min("rare").alias("rare"), F.sum("n").alias("n")))
     totals = counts.groupBy("rare").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     top = counts.where("rare >= 0").orderBy(F.desc("n"), "h").limit(Vocabulary.sizes(int(totals["v"].sum()))[0]).toPandas()
     vocabulary = Vocabulary(top, totals)
-    known = context.broadcast(vocabulary)
-    sizes = counts.mapInArrow(_class_sizes(known), "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    sizes = counts.mapInArrow(_class_sizes(context.broadcast(vocabulary)), "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
     noise = np.ones(vocabulary.size)
     noise[sizes["c"].to_numpy(np.int64)] += sizes["n"]
     model = train_classes(learned, vocabulary, noise)
-    near = model.near()
-    after = learned.select("text").mapInArrow(_seen_after(known), "c int, h long, i int, n long")
-    fitted = cut(after.groupBy("c").applyInArrow(_fit(context.broadcast(near.astype(np.float64))), "c int, h long, n long, w array<float>"))
-    words = fitted.where("n >= 0").select("h", "n", "w")
-    ranks = words.groupBy("n").agg(F.count("*").alias("v")).toPandas().sort_values("n", ascending=False)
+    return vocabulary, model, *fit_words(learned, vocabulary, model.near().astype(np.float64))
+
+
+def score(docs: DataFrame, train: Column) -> DataFrame:
+    """For each row of docs: doc_id, n_tokens, n_known (tokens that occur in training), train_tokens, base_score (log10 of the add-one unigram
+    probability) and score (the model's log10 probability of the text)."""
+    context = docs.sparkSession.sparkContext
+    vocabulary, model, words, z = fit(docs.where(train).select(row_key().alias("k"), "text"))
+    near, words = model.near(), words.select("h", "n", "w")
+    # No more than KNOWN different numbers can matter.
+    ranks = words.groupBy("n").agg(F.count("*").alias("v")).orderBy(F.desc("n")).limit(KNOWN).toPandas()
     frequent = ranks["n"][ranks["v"].cumsum() <= KNOWN]
     top = words.where(F.col("n") >= int(frequent.min())) if len(frequent) else words.limit(0)
-    scorer = Scorer(vocabulary, model, top.toArrow(), fitted.where("n < 0").select("c", "w").toArrow())
-    lines = docs.select(row_key().alias("k"), "doc_id", "text").mapInArrow(_score(context.broadcast(scorer)), _LINES)
-    joined = lines.join(words, "h", "left").mapInArrow(_joined(context.broadcast(near)), "k long, tf int, doc_id long, n_tokens long, n_known long, base double, log double, n long, gain double")
+    scorer = Scorer(vocabulary, model, top.toArrow(), z)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    lines = docs.select(row_key().alias("k"), "doc_id", "text").mapInArrow(_score(context.broadcast(scorer)), _LINES.format(kind))
+    joined = lines.join(words, "h", "left").mapInArrow(_joined(context.broadcast(near)), f"k long, tf int, doc_id {kind}, n_tokens long, n_known long, base double, log double, n long, gain double")
     rare = F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))
     sums = joined.groupBy("k").agg(
         F.count("n_tokens").alias("rows"), F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens"),

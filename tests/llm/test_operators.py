@@ -171,15 +171,52 @@ def test_language_model_classes_grow():
     import numpy as np
 
     assert language_model.Vocabulary.sizes(0) == (language_model.OWN, language_model.RARE)
-    assert sum(language_model.Vocabulary.sizes(4_000_000)) == 2000
+    assert sum(language_model.Vocabulary.sizes(4_000_000)) == language_model.OWN + language_model.RARE + 2 * 159
+    assert sum(language_model.Vocabulary.sizes(10**9)) < 2200
     x = np.random.default_rng(1).normal(size=(9, 3))
-    h, i, n = np.array([5, 5, 8, 8]), np.array([0, 1, 2, 3]), np.array([30, 2, 2, 30])
-    words, count, w, z = language_model.fit_words(x, h, i, n)
-    assert words.tolist() == [5, 8] and count.tolist() == [32, 32]
+    h, i, n = np.array([0, 0, 1, 1]), np.array([0, 1, 2, 3]), np.array([30, 2, 2, 30])
+    mean, inverse = language_model.discriminant(x, np.bincount(i, n, 9))
+    sums = np.stack([np.bincount(h, n * x[i, d]) for d in range(3)], 1)
+    w = language_model.word_vectors(np.bincount(h, n), sums, np.stack([mean] * 2), np.stack([inverse] * 2))
+    z = np.log1p(language_model.exponentials(x, w))
     p = np.exp(x @ w[:, :-1].T + w[:, -1] - z[:, None])
     assert np.allclose(p.sum(1) + np.exp(-z), 1, atol=1e-5) and p[0, 0] > p[0, 1] and p[3, 1] > p[3, 0]
 
 
+def test_language_model_score_by_plain_sums(spark):
+    """Scores are sums of log10 P(class | two classes before) + log10 P(token | class, class before), with both softmaxes written out over all
+    tokens of a class and the unknown one; ids may be any type."""
+    import numpy as np
+
+    r = random.Random(9)
+    pool = [f"w{i}" for i in range(700)]
+    texts = [(f"id{i}" if i else None, " ".join(r.choice(pool[: 1 + int(700 * r.random() ** 2)]) for _ in range(r.randrange(60)))) for i in range(200)]
+    texts += [("new", "w1 unseen w2 Unseen also"), ("none", None), ("one", "w699")]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    train = F.coalesce(F.crc32("doc_id") % 7 != 2, F.lit(True)) & ~F.coalesce(F.col("doc_id").isin("new", "none", "one"), F.lit(False))
+    got = {x["doc_id"]: x["score"] for x in language_model.score(docs, train).collect()}
+    assert len(got) == len(texts)
+    vocabulary, model, words, _ = language_model.fit(docs.where(train).select(F.xxhash64("doc_id", "text").alias("k"), "text"))
+    table_, near = model.table(), model.near().astype(np.float64)
+    of, vector = {}, {}
+    for x in words.collect():
+        of.setdefault(x["c"], []).append(x["h"])
+        vector[x["h"]] = np.array(x["w"])
+    assert sum(map(len, of.values())) > 300
+    for i, text in texts:
+        raw = (text or "").encode()
+        hashes, rare, starts = language_model.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        classes, counts = vocabulary.look_up(hashes, rare)
+        total, before = 0.0, [0, 0]
+        for h, c, n in zip(hashes.view(np.int64).tolist(), classes.tolist(), counts.tolist(), strict=True):
+            total += float(table_[before[-1] * vocabulary.size + before[-2], c])
+            if n < 0:
+                e = {k: np.exp(vector[k][:-1] @ near[before[-1]] + vector[k][-1]) for k in of.get(c, [])}
+                total += float(np.log10(e.get(h, 1.0) / (1 + sum(e.values()))))
+            before.append(c)
+        assert got[i] == pytest.approx(total, abs=1e-3, rel=1e-4), i
+
+
 def test_log_bilinear_is_normalised():
     import numpy as np
 
