@@ -2,7 +2,7 @@
 noise-contrastive estimation.
 
 Tokens are the lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+` of a text and one end token. The counts of all training tokens are exact and cover all
-training documents. The number of classes grows with the cube root of V for V distinct tokens, so that matrices of classes stay small at any size (V = 10**9: 2,191 classes, 19 MB a matrix): OWN + cbrt(V) of the most
+training documents. The number of classes grows with the cube root of V for V distinct tokens, so that matrices of classes stay small at any size (V = 10**9: 2,288 classes, 21 MB a matrix): OWN + cbrt(V) of the most
 frequent tokens are a class each, and RARE + cbrt(V) classes share the other tokens in equal parts, ordered by their last two bytes, then by hash. A token's probability is P(class | two classes before) * P(token | class, class before):
 
 * P(class | context) is log-bilinear: the context's class vectors, each times the matrix of its position, predict a vector whose products with the
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._text import Words, cut, mix, row_key, signed, slices
 
 #: Numbers of tokens with a class of their own and of shared classes for the smallest vocabularies.
-OWN, RARE, KNOWN = 159, 32, 200_000
+OWN, RARE, KNOWN = 159, 128, 200_000
 CLASSES, WIDTH = 1 + OWN + RARE, 12
 BATCH, NOISE, RATE = 1024, 24, 0.1
 ROUNDS, PART, SHRINK, FAN = 8, 500_000, 5.0, 64

@@ -172,7 +172,7 @@ def test_language_model_classes_grow():
 
     assert language_model.Vocabulary.sizes(0) == (language_model.OWN, language_model.RARE)
     assert sum(language_model.Vocabulary.sizes(4_000_000)) == language_model.OWN + language_model.RARE + 2 * 159
-    assert sum(language_model.Vocabulary.sizes(10**9)) < 2200
+    assert sum(language_model.Vocabulary.sizes(10**9)) < 2400
     x = np.random.default_rng(1).normal(size=(9, 3))
     h, i, n = np.array([0, 0, 1, 1]), np.array([0, 1, 2, 3]), np.array([30, 2, 2, 30])
     mean, inverse = language_model.discriminant(x, np.bincount(i, n, 9))
