@@ -306,23 +306,19 @@ def train_classes(learned: DataFrame, vocabulary: Vocabulary, noise: np.ndarray)
     return model
 
 
-_SUMS = [f"s{d}" for d in range(WIDTH)]
-
-
-def _moments(shared):
-    """For the tokens of shared classes: lines of tokens (i: -1) with their number and the sum of their context vectors, and lines of
-    classes with the number of tokens after each class i. Tokens are merged PART at a time, classes over the whole task."""
+def _seen_after(shared):
+    """How often each token of a shared class comes after each class, merged 2,000,000 tokens at a time."""
 
     def run(batches):
-        vocabulary, near = shared.value
-        first_shared, parts, held = 1 + vocabulary.own, [], 0
-        after = np.zeros((vocabulary.shared, vocabulary.size), np.int64)
+        vocabulary, parts, held = shared.value, [], 0
 
         def flush():
             h, c, i = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            words, first, at = np.unique(h, return_index=True, return_inverse=True)
-            sums = [pa.array(np.bincount(at, near[i, d], len(words))) for d in range(WIDTH)]
-            return pa.RecordBatch.from_arrays([pa.array(c[first].astype(np.int32)), pa.array(signed(words)), pa.array(np.full(len(words), -1, np.int32)), pa.array(np.bincount(at, minlength=len(words)).astype(np.int64)), *sums], ["c", "h", "i", "n", *_SUMS])
+            order = np.lexsort((i, h))
+            h, c, i = h[order], c[order], i[order]
+            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]))))
+            n = np.diff(np.append(first, len(h)))
+            return pa.RecordBatch.from_arrays([pa.array(c[first].astype(np.int32)), pa.array(signed(h[first])), pa.array(i[first].astype(np.int32)), pa.array(n)], ["c", "h", "i", "n"])
 
         for batch in batches:
             for _, data, at in slices(batch):
@@ -330,17 +326,13 @@ def _moments(shared):
                 classes, counts = vocabulary.look_up(hashes, rare)
                 one, _ = contexts(classes, starts)
                 left = counts < 0
-                np.add.at(after, (classes[left] - first_shared, one[left]), 1)
                 parts.append((hashes[left], classes[left], one[left]))
                 held += int(left.sum())
-                if held > PART:
+                if held > 2_000_000:
                     yield flush()
                     parts, held = [], 0
         if held:
             yield flush()
-        c, i = np.nonzero(after)
-        none = pa.nulls(len(c), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array((c + first_shared).astype(np.int32)), pa.nulls(len(c), pa.int64()), pa.array(i.astype(np.int32)), pa.array(after[c, i]), *[none] * WIDTH], ["c", "h", "i", "n", *_SUMS])
 
     return run
 
@@ -372,15 +364,53 @@ def exponentials(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out
 
 
-def _vectors(shared):
+class Discriminants:
+    """Context vectors, and mean and inverse spread of each shared class."""
+
+    def __init__(self, first_shared: int, near: np.ndarray, after: np.ndarray):
+        self.first, self.near = first_shared, near
+        self.mean, self.inverse = (np.stack(x) for x in zip(*(discriminant(near, a) for a in after), strict=True))
+
+    def vectors(self, c: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        return word_vectors(n, sums, self.mean[c - self.first], self.inverse[c - self.first])
+
+    def alone(self, c: np.ndarray, n: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Vectors of tokens with one context only."""
+        return self.vectors(c, n, n[:, None] * self.near[i])
+
+
+def _runs(batches, near: np.ndarray):
+    """From pairs in runs of equal tokens, which may go on in the next batch: c, h, n, one context, whether it is the only one, sum of context vectors."""
+    last = None
+    for batch in batches:
+        c, h, i, n = (np.asarray(batch.column(x)) for x in "chin")
+        if not len(h):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        some = [c[first], h[first], np.add.reduceat(n, first), i[first], np.maximum.reduceat(i, first) == np.minimum.reduceat(i, first), np.add.reduceat(n[:, None] * near[i], first)]
+        if last is not None and last[1][0] == h[0]:
+            some[4][0] &= last[4][0] and last[3][0] == some[3][0]
+            some[2][0] += last[2][0]
+            some[5][0] += last[5][0]
+        elif last is not None:
+            yield last
+        last = [x[-1:].copy() for x in some]
+        if len(first) > 1:
+            yield [x[:-1] for x in some]
+    if last is not None:
+        yield last
+
+
+def _vectors(shared, short: bool):
+    """Lines of tokens; where `short`, the list of one with a single context is empty, as it follows from c, n and i."""
+
     def run(batches):
-        first_shared, mean, inverse = shared.value
-        for batch in batches:
-            c = np.asarray(batch.column("c")) - first_shared
-            sums = np.stack([np.asarray(batch.column(x)) for x in _SUMS], 1)
-            w = word_vectors(np.asarray(batch.column("n")), sums, mean[c], inverse[c])
-            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(w) + 1) * (WIDTH + 1)).astype(np.int32)), pa.array(w.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("h"), batch.column("n"), lists], ["c", "h", "n", "w"])
+        fitted = shared.value
+        for c, h, n, i, single, sums in _runs(batches, fitted.near):
+            w = fitted.vectors(c, n, sums)
+            keep = ~single if short else np.ones(len(c), bool)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep * (WIDTH + 1))).astype(np.int32)), pa.array(w[keep].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(h), pa.array(n), pa.array(i), lists], ["c", "h", "n", "i", "w"])
 
     return run
 
@@ -389,8 +419,9 @@ def _exponentials(shared):
     """The sums of each class of a task's tokens."""
 
     def run(batches):
-        first_shared, count, near = shared.value
-        sums = np.zeros((count, len(near)))
+        fitted = shared.value
+        first_shared, near = fitted.first, fitted.near
+        sums = np.zeros((len(fitted.mean), len(near)))
         for batch in batches:
             c, w = np.asarray(batch.column("c")) - first_shared, np.asarray(batch.column("w").flatten()).reshape(-1, WIDTH + 1)
             order = np.argsort(c, kind="stable")
@@ -403,21 +434,30 @@ def _exponentials(shared):
     return run
 
 
-def fit_words(learned: DataFrame, vocabulary: Vocabulary, near: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """The tokens of shared classes (c, h, n, w), and for each class and class before the logarithm of the sum over its tokens and the unknown one."""
-    context, first_shared = learned.sparkSession.sparkContext, 1 + vocabulary.own
-    moments = cut(learned.select("text").mapInArrow(_moments(context.broadcast((vocabulary, near))), ", ".join(("c int, h long, i int, n long", *(f"{x} double" for x in _SUMS)))))
+_WORDS = "c int, h long, n long, i int, w array<float>"
+
+
+def fit_words(learned: DataFrame, vocabulary: Vocabulary, near: np.ndarray) -> tuple[DataFrame, Discriminants, np.ndarray]:
+    """How often each token of a shared class follows each class (c, h, i, n; a token's lines lie together), the discriminants of the classes, and
+    for each class and class before the logarithm of the sum of exponentials over its tokens and the unknown one.
+
+    Only these numbers are kept: most tokens have one context, so vectors take more room than what they follow from."""
+    context = learned.sparkSession.sparkContext
+    pairs = learned.select("text").mapInArrow(_seen_after(context.broadcast(vocabulary)), "c int, h long, i int, n long")
+    pairs = cut(pairs.repartition("h").sortWithinPartitions("h"))
     after = np.zeros((vocabulary.shared, vocabulary.size))
-    seen = moments.where("i >= 0").groupBy("c", "i").agg(F.sum("n").alias("n")).toPandas()
-    after[seen["c"].to_numpy(np.int64) - first_shared, seen["i"].to_numpy(np.int64)] = seen["n"]
-    fitted = [discriminant(near, a) for a in after]
-    mean, inverse = (np.stack([f[k] for f in fitted]) for k in range(2))
-    each = moments.where("i < 0").groupBy("h").agg(F.min("c").alias("c"), F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in _SUMS))
-    words = cut(each.mapInArrow(_vectors(context.broadcast((first_shared, mean, inverse))), "c int, h long, n long, w array<float>"))
-    sums = words.select("c", "w").mapInArrow(_exponentials(context.broadcast((first_shared, vocabulary.shared, near))), "c int, i int, e double").groupBy("c", "i").agg(F.sum("e").alias("e")).toPandas()
+    seen = pairs.groupBy("c", "i").agg(F.sum("n").alias("n")).toPandas()
+    after[seen["c"].to_numpy(np.int64) - vocabulary.own - 1, seen["i"].to_numpy(np.int64)] = seen["n"]
+    fitted = Discriminants(1 + vocabulary.own, near, after)
+    sums = word_lines(pairs, fitted).mapInArrow(_exponentials(context.broadcast(fitted)), "c int, i int, e double").groupBy("c", "i").agg(F.sum("e").alias("e")).toPandas()
     z = np.zeros((vocabulary.size, vocabulary.size))
     z[sums["c"].to_numpy(np.int64), sums["i"].to_numpy(np.int64)] = np.log1p(sums["e"])
-    return words, z.astype(np.float32)
+    return pairs, fitted, z.astype(np.float32)
+
+
+def word_lines(pairs: DataFrame, fitted: Discriminants, short: bool = False) -> DataFrame:
+    """For each token of a shared class its class, number, a context and vector, as `_vectors` says."""
+    return pairs.mapInArrow(_vectors(pairs.sparkSession.sparkContext.broadcast(fitted), short), _WORDS)
 
 
 class Scorer:
@@ -493,21 +533,25 @@ def _joined(shared):
     """Adds the scores of joined tokens; an unknown token's is 0."""
 
     def run(batches):
-        near = shared.value
+        fitted = shared.value
         for batch in batches:
-            w, tf, i = batch.column("w"), np.asarray(batch.column("tf")), np.asarray(batch.column("i"))
-            there = np.flatnonzero((tf > 0) & np.asarray(w.is_valid()))
+            w, n, tf, i = batch.column("w"), batch.column("n"), np.asarray(batch.column("tf")), np.asarray(batch.column("i"))
+            there = np.flatnonzero((tf > 0) & np.asarray(n.is_valid()))
             gain = np.zeros(batch.num_rows)
             if len(there):
-                v = np.asarray(w.take(pa.array(there)).flatten()).reshape(len(there), -1)
-                gain[there] = tf[there] * (np.einsum("ij,ij->i", near[i[there]], v[:, :-1]) + v[:, -1]) / np.log(10)
+                lists = w.take(pa.array(there))
+                single = np.asarray(lists.value_lengths()) == 0
+                v = np.empty((len(there), WIDTH + 1))
+                v[~single] = np.asarray(lists.flatten()).reshape(-1, WIDTH + 1)
+                v[single] = fitted.alone(*(np.asarray(batch.column(x).take(pa.array(there[single]))) for x in ("c", "n", "context")))
+                gain[there] = tf[there] * (np.einsum("ij,ij->i", fitted.near[i[there]], v[:, :-1]) + v[:, -1]) / np.log(10)
             keep = ["k", "tf", "doc_id", "n_tokens", "n_known", "base", "log", "n"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(gain)], [*keep, "gain"])
 
     return run
 
 
-def fit(learned: DataFrame) -> tuple[Vocabulary, LogBilinear, DataFrame, np.ndarray]:
+def fit(learned: DataFrame) -> tuple[Vocabulary, LogBilinear, DataFrame, Discriminants, np.ndarray]:
     """Vocabulary, model of classes, and the words in their classes (see `fit_words`), from texts with their keys (k)."""
     context = learned.sparkSession.sparkContext
     counts = cut(learned.select("text").mapInArrow(_count, "h long, rare int, n long").groupBy("h").agg(F.min("rare").alias("rare"), F.sum("n").alias("n")))
@@ -525,16 +569,17 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     """For each row of docs: doc_id, n_tokens, n_known (tokens that occur in training), train_tokens, base_score (log10 of the add-one unigram
     probability) and score (the model's log10 probability of the text)."""
     context = docs.sparkSession.sparkContext
-    vocabulary, model, words, z = fit(docs.where(train).select(row_key().alias("k"), "text"))
-    near, words = model.near(), words.select("h", "n", "w")
+    vocabulary, model, pairs, fitted, z = fit(docs.where(train).select(row_key().alias("k"), "text"))
+    words = word_lines(pairs, fitted)
     # No more than KNOWN different numbers can matter.
     ranks = words.groupBy("n").agg(F.count("*").alias("v")).orderBy(F.desc("n")).limit(KNOWN).toPandas()
     frequent = ranks["n"][ranks["v"].cumsum() <= KNOWN]
     top = words.where(F.col("n") >= int(frequent.min())) if len(frequent) else words.limit(0)
-    scorer = Scorer(vocabulary, model, top.toArrow(), z)
+    scorer = Scorer(vocabulary, model, top.select("h", "n", "w").toArrow(), z)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    rest = word_lines(pairs, fitted, short=True).withColumnRenamed("i", "context")
     lines = docs.select(row_key().alias("k"), "doc_id", "text").mapInArrow(_score(context.broadcast(scorer)), _LINES.format(kind))
-    joined = lines.join(words, "h", "left").mapInArrow(_joined(context.broadcast(near)), f"k long, tf int, doc_id {kind}, n_tokens long, n_known long, base double, log double, n long, gain double")
+    joined = lines.join(rest, "h", "left").mapInArrow(_joined(context.broadcast(fitted)), f"k long, tf int, doc_id {kind}, n_tokens long, n_known long, base double, log double, n long, gain double")
     rare = F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))
     sums = joined.groupBy("k").agg(
         F.count("n_tokens").alias("rows"), F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens"),

@@ -196,10 +196,10 @@ def test_language_model_score_by_plain_sums(spark):
     train = F.coalesce(F.crc32("doc_id") % 7 != 2, F.lit(True)) & ~F.coalesce(F.col("doc_id").isin("new", "none", "one"), F.lit(False))
     got = {x["doc_id"]: x["score"] for x in language_model.score(docs, train).collect()}
     assert len(got) == len(texts)
-    vocabulary, model, words, _ = language_model.fit(docs.where(train).select(F.xxhash64("doc_id", "text").alias("k"), "text"))
+    vocabulary, model, pairs, fitted, _ = language_model.fit(docs.where(train).select(F.xxhash64("doc_id", "text").alias("k"), "text"))
     table_, near = model.table(), model.near().astype(np.float64)
     of, vector = {}, {}
-    for x in words.collect():
+    for x in language_model.word_lines(pairs, fitted).collect():
         of.setdefault(x["c"], []).append(x["h"])
         vector[x["h"]] = np.array(x["w"])
     assert sum(map(len, of.values())) > 300
@@ -217,6 +217,28 @@ def test_language_model_score_by_plain_sums(spark):
         assert got[i] == pytest.approx(total, abs=1e-3, rel=1e-4), i
 
 
+def test_language_model_sums_of_runs():
+    """Sums of a token don't depend on where batches are cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=(6, 4))
+    h = np.sort(rng.integers(0, 40, 300))
+    i, n = rng.integers(0, 6, 300), rng.integers(1, 9, 300)
+    i[h % 3 == 0] = 2
+    whole = pa.table({"c": (h % 5).astype(np.int32), "h": h, "i": i.astype(np.int32), "n": n})
+    want = {k: (k % 5, n[h == k].sum(), len(set(i[h == k].tolist())) == 1, (n[h == k, None] * near[i[h == k]]).sum(0)) for k in set(h.tolist())}
+    for size in (1, 2, 7, 300):
+        got = {}
+        for c, k, m, _, single, sums in language_model._runs(whole.to_batches(max_chunksize=size), near):
+            for j in range(len(k)):
+                assert int(k[j]) not in got
+                got[int(k[j])] = (c[j], m[j], single[j], sums[j])
+        assert got.keys() == want.keys()
+        assert all(got[k][:3] == want[k][:3] and np.allclose(got[k][3], want[k][3]) for k in want)
+
+
 def test_log_bilinear_is_normalised():
     import numpy as np
 
