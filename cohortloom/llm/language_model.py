@@ -14,8 +14,9 @@ frequent tokens are a class each, and RARE + cbrt(V) classes share the other tok
   come from the class model. Vectors are fitted in closed form (linear discriminants) from the contexts of all occurrences of the token, drawn to the
   class's mean by SHRINK further ones; without context the bias is log(c + 1). An unknown token counts as one more, without a vector. A fit takes
   sums only - of context vectors by token, of contexts by class, of exponentials by class and context - each merged before it is shuffled, so no class is held in one task.
+  Tokens are dealt by hash to parts of about TOKENS; how often each follows each class is kept packed, one line for each part.
 
-Vectors of the most frequent tokens, KNOWN at most, are broadcast; those of the other tokens are joined by hash. Null or empty texts
+Vectors of the most frequent tokens, KNOWN at most, are broadcast; those of the other tokens are joined by part. Null or empty texts
 have the end token only; a null doc_id is kept. Rows that repeat a doc_id are scored one by one, equal texts alike. Very long texts are scored whole. Tokens with
 equal counts are ordered by hash. Other columns aren't read. doc_id keeps its type. An empty table gives an empty result. Without training documents all counts are 0.
 """
@@ -37,6 +38,8 @@ OWN, RARE, KNOWN = 159, 128, 200_000
 CLASSES, WIDTH = 1 + OWN + RARE, 12
 BATCH, NOISE, RATE = 1024, 24, 0.1
 ROUNDS, PART, SHRINK, FAN = 8, 500_000, 5.0, 64
+#: Least number of parts in which tokens are kept, and tokens of a part.
+SPREAD, TOKENS = 128, 1 << 17
 END = np.uint64(0x5EED0FE4D)
 #: The model and its logarithms of sums last used in this worker, by the name of its broadcast.
 _models: dict[str, tuple] = {}
@@ -117,6 +120,12 @@ class Vocabulary:
         more = round(v ** (1 / 3))
         return OWN + more, RARE + more
 
+    def broadcast_from(self, ranks: pd.DataFrame) -> None:
+        """Sets from which number on tokens of shared classes are broadcast, KNOWN at most, from how many tokens v have each number n."""
+        own = ranks["n"].map(pd.Series(self.counts).value_counts()).fillna(0)
+        frequent = ranks["n"][(ranks["v"] - own).cumsum() <= KNOWN]
+        self.least = int(frequent.min()) if len(frequent) else self.n + 1
+
     def look_up(self, hashes: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and count of each token; -1 is the count of a token of a shared class."""
         at = np.maximum(rare, 0)
@@ -185,9 +194,10 @@ class LogBilinear:
 
     @staticmethod
     def _add(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
-        ids, first = np.unique(at[order], return_index=True)
-        out[ids] += np.add.reduceat(rows[order], first, axis=0)
+        order = np.argsort(at.astype(np.uint16) if len(out) <= 1 << 16 else at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        out[at[first]] += np.add.reduceat(rows[order], first, axis=0)
 
     def flat(self) -> np.ndarray:
         """The parameters and the sums of their squared steps."""
@@ -286,11 +296,11 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": rows["block"].iloc[:1], "replica": rows["replica"].iloc[:1], "seen": [rows["seen"].sum()], "values": [values]})
 
 
-def train_classes(learned: DataFrame, vocabulary: Vocabulary, noise: np.ndarray) -> LogBilinear:
-    """The model of classes, from texts with their keys."""
-    context, model = learned.sparkSession.sparkContext, LogBilinear(noise)
+def train_classes(learned: DataFrame, vocabulary: Vocabulary, noise: np.ndarray) -> tuple[LogBilinear, np.ndarray]:
+    """The model of classes, from texts with their keys, and how often each shared class follows each class."""
+    context, model, shape = learned.sparkSession.sparkContext, LogBilinear(noise), (vocabulary.shared, vocabulary.size)
     if not vocabulary.n:
-        return model
+        return model, np.zeros(shape)
     parts = ROUNDS * max(1, round(vocabulary.n / ROUNDS / PART))
     encoded, start = cut(learned.mapInArrow(_encode(context.broadcast(vocabulary), parts), "replica long, k long, classes binary")), None
     for turn in range(ROUNDS):
@@ -303,40 +313,173 @@ def train_classes(learned: DataFrame, vocabulary: Vocabulary, noise: np.ndarray)
         if len(found):
             start = np.concatenate([np.asarray(v) for v in found["values"]])
     model.set(start)
-    return model
+    return model, total(encoded.mapInArrow(_after(context.broadcast((vocabulary.own, *shape))), _SUMS), shape)
+
+
+def spread(v: int) -> int:
+    """The number of parts in which v distinct tokens are kept, of about TOKENS each."""
+    return max(SPREAD, -(-v // TOKENS))
+
+
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each token; parts are ranges of hashes."""
+    return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _merged(h: np.ndarray, c: np.ndarray, i: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Distinct tokens by hash (h, c), the number of contexts of each (m), and, token by token, contexts and how often they are seen (i, n)."""
+    order = np.argsort(h)
+    h = h[order]
+    first = _edges(h)
+    key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h)))) * size + i[order]
+    at = np.argsort(key)
+    key = key[at]
+    new = _edges(key)
+    n = np.add.reduceat(n[order][at], new) if len(new) else n
+    key = key[new]
+    return h[first], c[order][first], np.bincount(key // size, minlength=len(first)), key % size, n
+
+
+def _raw(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as hold them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _numbers(raw: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // count}") if count else np.zeros(0, np.uint8)
+
+
+_PAIRS = "part int, h binary, c binary, m binary, i binary, n binary"
+
+
+def _packed(h: np.ndarray, c: np.ndarray, m: np.ndarray, i: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A line for each part of some merged pairs; numbers in bytes, as a line for each pair costs more than all that is done with it."""
+    part, at = _parts(h, parts), np.append(0, np.cumsum(m))
+    low = _edges(part)
+    high = np.append(low[1:], len(part))
+    lines = [[_raw(x[a:b]).tobytes() for x in (c, m)] + [_raw(x[at[a] : at[b]]).tobytes() for x in (i, n)] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+    hashes = [h[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+    columns = [hashes, *([line[k] for line in lines] for k in range(4))]
+    return pa.RecordBatch.from_arrays([pa.array(part[low].astype(np.int32)), *(pa.array(x, pa.binary()) for x in columns)], ["part", "h", "c", "m", "i", "n"])
+
 
+def _unpacked(h: bytes, c: bytes, m: bytes, i: bytes, n: bytes) -> tuple[np.ndarray, ...]:
+    """What `_merged` gives, from a line."""
+    h = np.frombuffer(h, np.uint64)
+    c, m = (_numbers(x, len(h)).astype(np.int64) for x in (c, m))
+    return h, c, m, *(_numbers(x, int(m.sum())).astype(np.int64) for x in (i, n))
 
-def _seen_after(shared):
+
+def _rows(batch: pa.RecordBatch, names: str):
+    return zip(*(batch.column(x).to_pylist() for x in names.split()), strict=True)
+
+
+def _seen_after(shared, parts: int):
     """How often each token of a shared class comes after each class, merged 2,000,000 tokens at a time."""
 
     def run(batches):
-        vocabulary, parts, held = shared.value, [], 0
+        vocabulary, held, size = shared.value, [], 0
 
         def flush():
-            h, c, i = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            order = np.lexsort((i, h))
-            h, c, i = h[order], c[order], i[order]
-            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]))))
-            n = np.diff(np.append(first, len(h)))
-            return pa.RecordBatch.from_arrays([pa.array(c[first].astype(np.int32)), pa.array(signed(h[first])), pa.array(i[first].astype(np.int32)), pa.array(n)], ["c", "h", "i", "n"])
+            h, c, i = (np.concatenate([p[k] for p in held]) for k in range(3))
+            return _packed(*_merged(h, c, i, np.ones(len(h), np.int64), vocabulary.size), parts)
 
         for batch in batches:
             for _, data, at in slices(batch):
                 hashes, rare, starts = tokens(data, at)
                 classes, counts = vocabulary.look_up(hashes, rare)
                 one, _ = contexts(classes, starts)
-                left = counts < 0
-                parts.append((hashes[left], classes[left], one[left]))
-                held += int(left.sum())
-                if held > 2_000_000:
+                left = np.flatnonzero(counts < 0)
+                held.append((hashes[left], classes[left], one[left]))
+                size += len(left)
+                if size > 2_000_000:
                     yield flush()
-                    parts, held = [], 0
-        if held:
+                    held, size = [], 0
+        if size:
             yield flush()
 
     return run
 
 
+def _merge(size: int, parts: int):
+    """One line for each part, from lines sorted by part; what is held is merged whenever it has doubled."""
+
+    def run(batches):
+        part, held, pairs, least = None, [], 0, 0
+
+        def merged():
+            h, c, m, i, n = (np.concatenate([p[k] for p in held]) for k in range(5))
+            return _merged(np.repeat(h, m), np.repeat(c, m), i, n, size)
+
+        for batch in batches:
+            for p, *line in _rows(batch, "part h c m i n"):
+                if held and p != part:
+                    yield _packed(*merged(), parts)
+                    held, pairs, least = [], 0, 0
+                part = p
+                held.append(_unpacked(*line))
+                pairs += len(held[-1][3])
+                if pairs > 1_000_000 + 2 * least:
+                    held = [merged()]
+                    pairs = least = len(held[0][3])
+        if held:
+            yield _packed(*merged(), parts)
+
+    return run
+
+
+def _after(shared):
+    """How often each shared class comes after each class, from the classes of documents."""
+
+    def run(batches):
+        own, shared_, size = shared.value
+        kind, sums = np.uint16 if size <= 1 << 16 else np.uint32, np.zeros(shared_ * size)
+        for batch in batches:
+            classes = np.frombuffer(b"".join(batch.column("classes").to_pylist()), kind).astype(np.int64)
+            one = np.append(0, classes[:-1])[: len(classes)]  # a text begins after an end, of class 0
+            left = np.flatnonzero(classes > own)
+            sums += np.bincount((classes[left] - own - 1) * size + one[left], minlength=len(sums))
+        yield _matrix(sums.reshape(shared_, size))
+
+    return run
+
+
+_SUMS = "c int, v array<double>"
+
+
+def _matrix(sums: np.ndarray) -> pa.RecordBatch:
+    """A line for each row of sums that isn't all 0."""
+    some = np.flatnonzero(sums.any(1))
+    lists = pa.ListArray.from_arrays(pa.array((np.arange(len(some) + 1) * sums.shape[1]).astype(np.int32)), pa.array(sums[some].ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), lists], ["c", "v"])
+
+
+def _added(batches):
+    """Adds up the lines of each row."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for c, v in zip(batch.column("c").to_pylist(), np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1) if batch.num_rows else (), strict=True):
+            sums[c] = sums[c] + v if c in sums else v
+    if sums:
+        width = len(next(iter(sums.values())))
+        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sums) + 1) * width).astype(np.int32)), pa.array(np.concatenate(list(sums.values()))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), lists], ["c", "v"])
+
+
+def total(lines: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of matrices that came in lines; a row is added up in one task, line by line."""
+    out = np.zeros(shape)
+    found = lines.repartition("c").mapInArrow(_added, _SUMS).toArrow()
+    if found.num_rows:
+        out[np.asarray(found.column("c"))] = np.asarray(found.column("v").combine_chunks().flatten()).reshape(-1, shape[1])
+    return out
+
+
 def discriminant(x: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and inverse spread of the context vectors x, each seen as often as `after` says."""
     total = max(1, after.sum())
@@ -348,19 +491,20 @@ def discriminant(x: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_vectors(n: np.ndarray, sums: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """Vectors, with the bias last, of tokens seen n times with these sums of context vectors; mean and inverse are of each token's class."""
+    """Vectors, with the bias last, of tokens seen n times with these sums of context vectors; mean and inverse are of each token's class, or of the class of all."""
     off = (sums - n[:, None] * mean) / (n + SHRINK)[:, None]
-    vectors = np.einsum("ij,ijk->ik", off, inverse)
+    vectors = off @ inverse if inverse.ndim == 2 else np.einsum("ij,ijk->ik", off, inverse)
     bias = np.log(n + 1) - ((0.5 * off + mean) * vectors).sum(1)
     return np.concatenate([vectors, bias[:, None]], 1).astype(np.float32)
 
 
 def exponentials(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """For each context the sum of exp(vector * x + bias) over some tokens."""
-    out = np.zeros(len(x))
-    for low in range(0, len(w), step := max(1, (1 << 21) // len(x))):
-        scores = x.astype(np.float32) @ w[low : low + step, :-1].T + w[low : low + step, -1]
-        out += np.exp(np.minimum(scores, 600), dtype=np.float64).sum(1)
+    out, x = np.zeros(len(x)), np.append(x, np.ones((len(x), 1)), 1).astype(np.float32).T
+    for low in range(0, len(w), step := max(1, (1 << 17) // x.shape[1])):
+        scores = w[low : low + step] @ x
+        wide = scores.max() > 80  # near the end of what single floats hold
+        out += np.exp(np.minimum(scores, 600), dtype=np.float64 if wide else np.float32).sum(0, dtype=np.float64)
     return out
 
 
@@ -371,12 +515,20 @@ class Discriminants:
         self.first, self.near = first_shared, near
         self.mean, self.inverse = (np.stack(x) for x in zip(*(discriminant(near, a) for a in after), strict=True))
 
-    def vectors(self, c: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        return word_vectors(n, sums, self.mean[c - self.first], self.inverse[c - self.first])
+    def by_class(self, c: np.ndarray, n: np.ndarray, sums: np.ndarray):
+        """For each class among some tokens: its number among the shared ones, where its tokens are, and their vectors."""
+        c = c - self.first
+        order = np.argsort(c, kind="stable")
+        low = _edges(c[order])
+        for a, b in zip(low.tolist(), np.append(low[1:], len(c)).tolist(), strict=True):
+            at = order[a:b]
+            yield (k := int(c[at[0]])), at, word_vectors(n[at], sums[at], self.mean[k], self.inverse[k])
 
-    def alone(self, c: np.ndarray, n: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Vectors of tokens with one context only."""
-        return self.vectors(c, n, n[:, None] * self.near[i])
+    def vectors(self, c: np.ndarray, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        out = np.empty((len(c), self.near.shape[1] + 1), np.float32)
+        for _, at, w in self.by_class(c, n, sums):
+            out[at] = w
+        return out
 
 
 def _runs(batches, near: np.ndarray):
@@ -401,16 +553,27 @@ def _runs(batches, near: np.ndarray):
         yield last
 
 
-def _vectors(shared, short: bool):
-    """Lines of tokens; where `short`, the list of one with a single context is empty, as it follows from c, n and i."""
+def _pairs(line, least: int = 0):
+    """The pairs of a line, one by one (c, h, i, n), of tokens seen `least` times at least."""
+    h, c, m, i, n = _unpacked(*line)
+    if least > 1 and len(h):
+        keep = np.add.reduceat(n, np.cumsum(m) - m) >= least
+        pairs = np.repeat(keep, m)
+        h, c, m, i, n = h[keep], c[keep], m[keep], i[pairs], n[pairs]
+    h, c = np.repeat(h, m), np.repeat(c, m)
+    for low in range(0, len(h), 1 << 18):
+        part = slice(low, low + (1 << 18))
+        yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (c, signed(h), i, n)], list("chin"))
+
+
+def _vectors(shared, least: int):
+    """Lines of tokens seen `least` times at least, with their vectors."""
 
     def run(batches):
         fitted = shared.value
-        for c, h, n, i, single, sums in _runs(batches, fitted.near):
-            w = fitted.vectors(c, n, sums)
-            keep = ~single if short else np.ones(len(c), bool)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep * (WIDTH + 1))).astype(np.int32)), pa.array(w[keep].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(h), pa.array(n), pa.array(i), lists], ["c", "h", "n", "i", "w"])
+        for c, h, n, _, _, sums in _runs((x for batch in batches for line in _rows(batch, "h c m i n") for x in _pairs(line, least)), fitted.near):
+            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(c) + 1) * (WIDTH + 1)).astype(np.int32)), pa.array(fitted.vectors(c, n, sums).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(h), pa.array(n), lists], ["c", "h", "n", "w"])
 
     return run
 
@@ -420,44 +583,57 @@ def _exponentials(shared):
 
     def run(batches):
         fitted = shared.value
-        first_shared, near = fitted.first, fitted.near
-        sums = np.zeros((len(fitted.mean), len(near)))
-        for batch in batches:
-            c, w = np.asarray(batch.column("c")) - first_shared, np.asarray(batch.column("w").flatten()).reshape(-1, WIDTH + 1)
-            order = np.argsort(c, kind="stable")
-            found, first = np.unique(c[order], return_index=True)
-            for k, at in zip(found, np.split(order, first[1:]), strict=True):
-                sums[k] += exponentials(near, w[at])
-        c, i = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array((c + first_shared).astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(sums[c, i])], ["c", "i", "e"])
+        sums = np.zeros((len(fitted.mean), len(fitted.near)))
+        for c, _, n, _, _, seen in _runs((x for batch in batches for line in _rows(batch, "h c m i n") for x in _pairs(line)), fitted.near):
+            for k, _, w in fitted.by_class(c, n, seen):
+                sums[k] += exponentials(fitted.near, w)
+        yield _matrix(sums)
 
     return run
 
 
-_WORDS = "c int, h long, n long, i int, w array<float>"
-
-
-def fit_words(learned: DataFrame, vocabulary: Vocabulary, near: np.ndarray) -> tuple[DataFrame, Discriminants, np.ndarray]:
-    """How often each token of a shared class follows each class (c, h, i, n; a token's lines lie together), the discriminants of the classes, and
-    for each class and class before the logarithm of the sum of exponentials over its tokens and the unknown one.
+def fit_words(learned: DataFrame, vocabulary: Vocabulary, near: np.ndarray, after: np.ndarray) -> tuple[DataFrame, Discriminants, np.ndarray]:
+    """How often each token of a shared class follows each class (a line for each part of the tokens, see `_packed`), the discriminants of the classes, and
+    for each class and class before the logarithm of the sum of exponentials over its tokens and the unknown one. after: how often each shared class follows each class.
 
     Only these numbers are kept: most tokens have one context, so vectors take more room than what they follow from."""
-    context = learned.sparkSession.sparkContext
-    pairs = learned.select("text").mapInArrow(_seen_after(context.broadcast(vocabulary)), "c int, h long, i int, n long")
-    pairs = cut(pairs.repartition("h").sortWithinPartitions("h"))
-    after = np.zeros((vocabulary.shared, vocabulary.size))
-    seen = pairs.groupBy("c", "i").agg(F.sum("n").alias("n")).toPandas()
-    after[seen["c"].to_numpy(np.int64) - vocabulary.own - 1, seen["i"].to_numpy(np.int64)] = seen["n"]
+    context, parts = learned.sparkSession.sparkContext, spread(vocabulary.v)
+    pairs = learned.select("text").mapInArrow(_seen_after(context.broadcast(vocabulary), parts), _PAIRS)
+    pairs = cut(pairs.repartition("part").sortWithinPartitions("part").mapInArrow(_merge(vocabulary.size, parts), _PAIRS), 1)
     fitted = Discriminants(1 + vocabulary.own, near, after)
-    sums = word_lines(pairs, fitted).mapInArrow(_exponentials(context.broadcast(fitted)), "c int, i int, e double").groupBy("c", "i").agg(F.sum("e").alias("e")).toPandas()
     z = np.zeros((vocabulary.size, vocabulary.size))
-    z[sums["c"].to_numpy(np.int64), sums["i"].to_numpy(np.int64)] = np.log1p(sums["e"])
+    z[1 + vocabulary.own :] = np.log1p(total(pairs.mapInArrow(_exponentials(context.broadcast(fitted)), _SUMS), after.shape))
     return pairs, fitted, z.astype(np.float32)
 
 
-def word_lines(pairs: DataFrame, fitted: Discriminants, short: bool = False) -> DataFrame:
-    """For each token of a shared class its class, number, a context and vector, as `_vectors` says."""
-    return pairs.mapInArrow(_vectors(pairs.sparkSession.sparkContext.broadcast(fitted), short), _WORDS)
+def word_lines(pairs: DataFrame, fitted: Discriminants, least: int = 0) -> DataFrame:
+    """For each token of a shared class that is seen `least` times at least its class, hash, number and vector."""
+    return pairs.mapInArrow(_vectors(pairs.sparkSession.sparkContext.broadcast(fitted), least), "c int, h long, n long, w array<float>")
+
+
+class Finder:
+    """Finds hashes among sorted distinct ones, from where each range of hashes starts."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.shift = np.uint64(62 - min(24, len(hashes).bit_length()))
+        self.first = np.searchsorted(hashes, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
+        self.first = np.append(self.first, np.int32(len(hashes)))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some hashes are there, in order, and where."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        place = np.full(len(hashes), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.hashes[at[left]] == hashes[left]
+            place[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        some = np.flatnonzero(place >= 0)
+        return some, place[some]
 
 
 class Scorer:
@@ -476,77 +652,108 @@ class Scorer:
         """Of each token its hash, the class before, the count (-1: to be joined), and its log10 probability, without the token's own score where it is to be joined."""
         if self.name not in _models:
             _models.clear()
-            _models[self.name] = (*self.model.terms(), self.model.near())
-        x, y, z, near = _models[self.name]
+            _models[self.name] = (*self.model.terms(), self.model.near(), Finder(self.hashes))
+        x, y, z, near, finder = _models[self.name]
         hashes, rare, starts = tokens(data, at)
         classes, counts = self.vocabulary.look_up(hashes, rare)
         one, two = contexts(classes, starts)
         log = (x[one, classes] + y[two, classes] - z[one, two]).astype(np.float64) - self.z[classes, one]
-        if len(self.hashes):
-            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            known = np.flatnonzero((self.hashes[place] == hashes) & (counts < 0))
-            place = place[known]
-            counts[known] = self.counts[place]
-            log[known] += np.einsum("ij,ij->i", near[one[known]], self.w[place, :-1]) + self.w[place, -1]
+        left = np.flatnonzero(counts < 0)
+        some, place = finder.find(hashes[left])
+        known = left[some]
+        counts[known] = self.counts[place]
+        log[known] += np.einsum("ij,ij->i", near[one[known]], self.w[place, :-1]) + self.w[place, -1]
         return hashes, one, counts, log / np.log(10), starts
 
 
-def _score(shared):
-    """For each row one line of sums (h: its key, tf 0), and a line for each distinct token and class before it whose score must be joined."""
+_LINES = "part int, h binary, i binary, keys binary, k long, doc_id {}, n_tokens long, n_known long, base double, log double"
+_JOINED = "k long, doc_id {}, n_tokens long, n_known long, base double, log double"
+
+
+def _score(shared, parts: int):
+    """For each row one line of sums (k: its key), and for each part of the tokens lines of those whose scores must be joined: hashes, classes before and keys."""
 
     def run(batches):
-        scorer = shared.value
+        scorer, held, size = shared.value, [], 0
+
+        def flush(kind):
+            h, i, keys = (np.concatenate([p[k] for p in held]) for k in range(3))
+            order = np.argsort(h)
+            h, i, keys = h[order], i[order], keys[order]
+            part = _parts(h, parts)
+            low = _edges(part)
+            columns = [[(_raw(x[a:b]) if x is i else x[a:b]).tobytes() for a, b in zip(low.tolist(), np.append(low[1:], len(h)).tolist(), strict=True)] for x in (h, i, keys)]
+            return _filled({"part": pa.array(part[low].astype(np.int32)), **{name: pa.array(x, pa.binary()) for name, x in zip(("h", "i", "keys"), columns, strict=True)}}, kind)
+
         for batch in batches:
+            kind = batch.schema.field("doc_id").type
             for rows, data, at in slices(batch):
                 hashes, one, counts, log, starts = scorer.score(data, at)
                 own = np.where(counts >= 0, np.log10(np.maximum(counts, 0) + 1.0), 0)
-                sums = [np.add.reduceat(x, starts[:-1]) for x in (own, log, (counts > 0).astype(np.int64))]
-                keys = np.asarray(rows.column("k"))
-                open_ = counts < 0
-                doc, left, before = np.repeat(np.arange(rows.num_rows), np.diff(starts))[open_], hashes[open_], one[open_]
-                order = np.lexsort((before, left, doc))
-                left, doc, before = left[order], doc[order], before[order]
-                first = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (doc[1:] != doc[:-1]) | (before[1:] != before[:-1])))) if len(left) else np.zeros(0, np.int64)
-                tf = np.diff(np.concatenate((first, [len(left)])))
-                n, m = rows.num_rows, len(first)
-                none = pa.nulls(m, pa.float64())
-                columns = [
-                    pa.array(np.concatenate((keys, keys[doc[first]]))),
-                    pa.array(np.concatenate((keys, signed(left[first])))),
-                    pa.array(np.concatenate((np.zeros(n, np.int32), tf.astype(np.int32)))),
-                    pa.array(np.concatenate((np.zeros(n, np.int32), before[first].astype(np.int32)))),
-                    pa.concat_arrays([rows.column("doc_id"), pa.nulls(m, rows.schema.field("doc_id").type)]),
-                    pa.concat_arrays([pa.array(np.diff(starts).astype(np.int64)), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.array(sums[2]), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.array(sums[0]), none]),
-                    pa.concat_arrays([pa.array(sums[1]), none]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["k", "h", "tf", "i", "doc_id", "n_tokens", "n_known", "base", "log"])
+                base, log, known = (np.add.reduceat(x, starts[:-1]) for x in (own, log, (counts > 0).astype(np.int64)))
+                keys, n = np.asarray(rows.column("k")), np.diff(starts)
+                part = _parts(mix(keys.view(np.uint64)), parts).astype(np.int32)
+                yield _filled({"part": pa.array(part), "k": rows.column("k"), "doc_id": rows.column("doc_id"), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known), "base": pa.array(base), "log": pa.array(log)}, kind)
+                left = np.flatnonzero(counts < 0)
+                held.append((hashes[left], one[left], np.repeat(keys, n)[left]))
+                size += len(left)
+                if size > 2_000_000:
+                    yield flush(kind)
+                    held, size = [], 0
+        if size:
+            yield flush(kind)
 
     return run
 
 
-_LINES = "k long, h long, tf int, i int, doc_id {}, n_tokens long, n_known long, base double, log double"
+def _filled(columns: dict[str, pa.Array], kind: pa.DataType) -> pa.RecordBatch:
+    """A batch with the columns of _LINES; those that aren't given are null."""
+    kinds = {"part": pa.int32(), "h": pa.binary(), "i": pa.binary(), "keys": pa.binary(), "k": pa.int64(), "doc_id": kind, "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "log": pa.float64()}
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, t) for x, t in kinds.items()], list(kinds))
 
 
 def _joined(shared):
-    """Adds the scores of joined tokens; an unknown token's is 0."""
+    """The sums of rows, and those of joined tokens, summed by key; an unknown token's are 0. Of each part, its pairs come first."""
 
     def run(batches):
-        fitted = shared.value
+        fitted, part, held, size = shared.value, None, [], 0
+
+        def flush(kind):
+            k, base, log = (np.concatenate([p[j] for p in held]) for j in range(3))
+            order = np.argsort(k)
+            k = k[order]
+            first = _edges(k)
+            n = np.diff(np.append(first, len(k)))
+            base, log = (np.add.reduceat(x[order], first) for x in (base, log))
+            m = len(first)
+            return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.array(n), pa.array(base), pa.array(log)], ["k", "doc_id", "n_tokens", "n_known", "base", "log"])
+
         for batch in batches:
-            w, n, tf, i = batch.column("w"), batch.column("n"), np.asarray(batch.column("tf")), np.asarray(batch.column("i"))
-            there = np.flatnonzero((tf > 0) & np.asarray(n.is_valid()))
-            gain = np.zeros(batch.num_rows)
-            if len(there):
-                lists = w.take(pa.array(there))
-                single = np.asarray(lists.value_lengths()) == 0
-                v = np.empty((len(there), WIDTH + 1))
-                v[~single] = np.asarray(lists.flatten()).reshape(-1, WIDTH + 1)
-                v[single] = fitted.alone(*(np.asarray(batch.column(x).take(pa.array(there[single]))) for x in ("c", "n", "context")))
-                gain[there] = tf[there] * (np.einsum("ij,ij->i", fitted.near[i[there]], v[:, :-1]) + v[:, -1]) / np.log(10)
-            keep = ["k", "tf", "doc_id", "n_tokens", "n_known", "base", "log", "n"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(gain)], [*keep, "gain"])
+            kind = batch.schema.field("doc_id").type
+            docs = batch.filter(batch.column("k").is_valid())
+            if docs.num_rows:
+                yield docs.select(["k", "doc_id", "n_tokens", "n_known", "base", "log"])
+            for p, h, c, m, i, n, keys in _rows(batch.filter(batch.column("h").is_valid()), "part h c m i n keys"):
+                if keys is None:
+                    part = p
+                    runs = [(x[1], x[2], fitted.vectors(x[0], x[2], x[5])) for x in _runs(_pairs((h, c, m, i, n)), fitted.near)]
+                    hashes, counts, w = (np.concatenate([x[k] for x in runs]) for k in range(3))
+                    hashes = hashes.view(np.uint64)
+                elif p == part:
+                    h = np.frombuffer(h, np.uint64)
+                    place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    some = np.flatnonzero(hashes[place] == h)
+                    place = place[some]
+                    if len(some):
+                        log = (np.einsum("ij,ij->i", fitted.near[_numbers(i, len(h))[some]], w[place, :-1]) + w[place, -1]) / np.log(10)
+                        held.append((np.frombuffer(keys, np.int64)[some], np.log10(counts[place] + 1.0), log))
+                        size += len(some)
+                        if size > 1_000_000:
+                            yield flush(kind)
+                            held, size = [], 0
+        if size:
+            yield flush(kind)
 
     return run
 
@@ -561,8 +768,11 @@ def fit(learned: DataFrame) -> tuple[Vocabulary, LogBilinear, DataFrame, Discrim
     sizes = counts.mapInArrow(_class_sizes(context.broadcast(vocabulary)), "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
     noise = np.ones(vocabulary.size)
     noise[sizes["c"].to_numpy(np.int64)] += sizes["n"]
-    model = train_classes(learned, vocabulary, noise)
-    return vocabulary, model, *fit_words(learned, vocabulary, model.near().astype(np.float64))
+    # No more than KNOWN different numbers can matter.
+    ranks = counts.where("rare >= 0").groupBy("n").agg(F.count("*").alias("v")).orderBy(F.desc("n")).limit(KNOWN + vocabulary.own).toPandas()
+    vocabulary.broadcast_from(ranks)
+    model, after = train_classes(learned, vocabulary, noise)
+    return vocabulary, model, *fit_words(learned, vocabulary, model.near().astype(np.float64), after)
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
@@ -570,22 +780,13 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     probability) and score (the model's log10 probability of the text)."""
     context = docs.sparkSession.sparkContext
     vocabulary, model, pairs, fitted, z = fit(docs.where(train).select(row_key().alias("k"), "text"))
-    words = word_lines(pairs, fitted)
-    # No more than KNOWN different numbers can matter.
-    ranks = words.groupBy("n").agg(F.count("*").alias("v")).orderBy(F.desc("n")).limit(KNOWN).toPandas()
-    frequent = ranks["n"][ranks["v"].cumsum() <= KNOWN]
-    top = words.where(F.col("n") >= int(frequent.min())) if len(frequent) else words.limit(0)
-    scorer = Scorer(vocabulary, model, top.select("h", "n", "w").toArrow(), z)
+    top = word_lines(pairs, fitted, vocabulary.least)
+    scorer, parts = Scorer(vocabulary, model, top.select("h", "n", "w").toArrow(), z), spread(vocabulary.v)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rest = word_lines(pairs, fitted, short=True).withColumnRenamed("i", "context")
-    lines = docs.select(row_key().alias("k"), "doc_id", "text").mapInArrow(_score(context.broadcast(scorer)), _LINES.format(kind))
-    joined = lines.join(rest, "h", "left").mapInArrow(_joined(context.broadcast(fitted)), f"k long, tf int, doc_id {kind}, n_tokens long, n_known long, base double, log double, n long, gain double")
-    rare = F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))
-    sums = joined.groupBy("k").agg(
-        F.count("n_tokens").alias("rows"), F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens"),
-        (F.coalesce(F.sum("n_known"), F.lit(0)) + F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0))).alias("n_known"),
-        (F.sum(F.coalesce("base", F.lit(0.0))) + F.sum(rare)).alias("base"), F.sum(F.coalesce("log", F.lit(0.0)) + F.col("gain")).alias("log"),
-    )
+    lines = docs.select(row_key().alias("k"), "doc_id", "text").mapInArrow(_score(context.broadcast(scorer), parts), _LINES.format(kind))
+    both = pairs.unionByName(lines, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.col("keys").isNotNull())
+    joined = both.mapInArrow(_joined(context.broadcast(fitted)), _JOINED.format(kind))
+    sums = joined.groupBy("k").agg(F.count("n_tokens").alias("rows"), F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base", "log")))
     # Equal rows have one key: their sums are divided, and each gets its line.
     each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     base = F.col("base") / F.col("rows") - F.col("n_tokens") * F.lit(float(np.log10(vocabulary.n + vocabulary.v + 1.0)))

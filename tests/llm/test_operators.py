@@ -239,6 +239,75 @@ def test_language_model_sums_of_runs():
         assert all(got[k][:3] == want[k][:3] and np.allclose(got[k][3], want[k][3]) for k in want)
 
 
+def test_language_model_keeps_pairs_in_parts(spark, monkeypatch):
+    """Pairs of tokens and contexts are whole and lie in one line for each part of the tokens, and scores are the same whether vectors are broadcast or joined."""
+    import numpy as np
+
+    r = random.Random(4)
+    texts = [(i, " ".join(f"w{int(900 * r.random() ** 2)}" for _ in range(r.randrange(60)))) for i in range(150)] + [(150, "w1 unseen w899 unseen"), (151, None), (151, None)]
+    docs, train = table(spark, texts), F.col("doc_id") < 150
+    vocabulary, _, pairs, _, _ = language_model.fit(docs.where(train).select(F.xxhash64("doc_id", "text").alias("k"), "text"))
+    want = {}
+    for i, text in texts[:150]:
+        raw = text.encode()
+        hashes, rare, starts = language_model.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        classes, counts = vocabulary.look_up(hashes, rare)
+        one, _ = language_model.contexts(classes, starts)
+        for h, c, j in zip(hashes[counts < 0].tolist(), classes[counts < 0].tolist(), one[counts < 0].tolist(), strict=True):
+            want[h, c, j] = want.get((h, c, j), 0) + 1
+    assert len(want) > 1000 >= 128 >= pairs.count()
+    got, parts = {}, []
+    for x in pairs.collect():
+        h, c, m, j, n = language_model._unpacked(x["h"], x["c"], x["m"], x["i"], x["n"])
+        parts.append(x["part"])
+        got |= dict(zip(zip(np.repeat(h, m).tolist(), np.repeat(c, m).tolist(), j.tolist(), strict=True), n.tolist(), strict=True))
+    assert got == want and len(set(parts)) == len(parts)
+
+    sums = lambda: sorted(map(tuple, language_model.score(docs, train).collect()))
+    whole = sums()
+    for known in (40, 0):
+        monkeypatch.setattr(language_model, "KNOWN", known)
+        few = sums()
+        assert [x[:4] for x in few] == [x[:4] for x in whole] and np.allclose([x[4:] for x in few], [x[4:] for x in whole], rtol=1e-5)
+
+
+def test_language_model_merges_and_finds():
+    """Merged pairs don't depend on the order of lines or on where batches are cut; hashes are found at any place; exponentials may be large."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2)
+    at, i, n = rng.integers(0, 500, 4000), rng.integers(0, 300, 4000), rng.integers(1, 400, 4000)
+    want = {}
+    for h, j, k in zip(pool[at].tolist(), i.tolist(), n.tolist(), strict=True):
+        want[h, j] = want.get((h, j), 0) + k
+    for cuts in (1, 9):
+        lines = [language_model._packed(*language_model._merged(pool[at[x]], at[x] % 7, i[x], n[x], 300), 16) for x in np.array_split(np.arange(4000), cuts)]
+        rows = sorted((tuple(x.values()) for line in lines for x in line.to_pylist()), key=lambda x: x[0])
+        for size in (1, 5, 1000):
+            batches = [pa_batch(rows[low : low + size]) for low in range(0, len(rows), size)]
+            got = {}
+            for line in language_model._merge(300, 16)(iter(batches)):
+                assert line.num_rows == 1
+                h, c, m, j, k = language_model._unpacked(*tuple(line.to_pylist()[0].values())[1:])
+                got |= dict(zip(zip(np.repeat(h, m).tolist(), j.tolist(), strict=True), k.tolist(), strict=True))
+            assert got == want
+    known = np.unique(pool[:200])
+    some, place = language_model.Finder(known).find(pool)
+    assert set(pool[some].tolist()) == set(known.tolist()) and (known[place] == pool[some]).all()
+    assert not len(language_model.Finder(known[:0]).find(pool)[0])
+    x, w = rng.normal(size=(5, 3)), rng.normal(size=(40, 4)).astype(np.float32)
+    for bias in (0, 90, 300):
+        w[:, 3] += np.float32(bias)
+        assert np.allclose(np.log(language_model.exponentials(x, w)), np.log(np.exp(x.astype(np.float32) @ w[:, :3].T.astype(np.float64) + w[:, 3]).sum(1)), rtol=1e-5)
+
+
+def pa_batch(rows):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[k] for x in rows], pa.binary()) for k in range(1, 6))], ["part", "h", "c", "m", "i", "n"])
+
+
 def test_log_bilinear_is_normalised():
     import numpy as np
 
