@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import poisson
-from cohortloom.operators import fitting, metrics, models, sequences
+from cohortloom.operators import fitting, metrics, missingness, models, sequences
 
 
 def _rows(seed=1, n=600, k=7):
@@ -90,3 +90,17 @@ def test_designs_and_pairs_of_a_miner(spark):
     k = len(miner.nodes)
     joined = miner.counts(spark.createDataFrame([([i, j],) for i in range(k) for j in range(i + 1, k)], "items array<int>"))
     assert {tuple(x["items"]): (x["n"], x["pos"]) for x in miner.pairs().collect()} == {tuple(x["items"]): (x["n"], x["pos"]) for x in joined.collect()}
+
+
+def test_equal_rows_grow_one_tree(spark):
+    """Trees on rows that stand for many equal ones are those of all rows, and so are their ranks."""
+    r = random.Random(8)
+    rows = [(r.randint(0, 5), r.randint(0, 3)) for _ in range(900)]
+    every = spark.createDataFrame([(float(a), float(b), int(r.random() < 0.2 + 0.6 * (a > b))) for a, b in rows], "a double, b double, y int")
+    alike = every.groupBy("a", "b", "y").agg(F.count("*").alias("n")).persist()
+    assert alike.count() < 60
+    fitted = [missingness._boosted(own, ["a", "b"], 2, 0.3, 3, 1.0, 1.5) for own in (every, alike)]
+    scored = [sorted(round(x["s3"], 9) for x in missingness._margins(m, every, ["a", "b"], [3]).collect()) for m in fitted]
+    assert scored[0] == scored[1]
+    ranks = [metrics.ranked(x.select(F.lit("m").alias("m"), "y", (F.col("a") - F.col("b")).alias("score"), *(["n"] if "n" in x.columns else [])), "m", *(["n"] if "n" in x.columns else [])).first() for x in (every, alike)]
+    assert ranks[0]["auc"] == pytest.approx(ranks[1]["auc"]) and ranks[0]["average_precision"] == pytest.approx(ranks[1]["average_precision"])
