@@ -90,6 +90,8 @@ def test_designs_and_pairs_of_a_miner(spark):
     k = len(miner.nodes)
     joined = miner.counts(spark.createDataFrame([([i, j],) for i in range(k) for j in range(i + 1, k)], "items array<int>"))
     assert {tuple(x["items"]): (x["n"], x["pos"]) for x in miner.pairs().collect()} == {tuple(x["items"]): (x["n"], x["pos"]) for x in joined.collect()}
+    t = spark.createDataFrame([([i, j, m],) for i in range(k) for j in range(i + 1, k) for m in range(j + 1, k)], "items array<int>")
+    assert {tuple(x["items"]): (x["n"], x["pos"]) for x in miner.triples().collect()} == {tuple(x["items"]): (x["n"], x["pos"]) for x in miner.counts(t).collect()}
 
 
 def test_equal_rows_grow_one_tree(spark):
